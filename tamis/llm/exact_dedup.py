@@ -91,6 +91,6 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their columns. Ids must tell rows apart; null ids never match and go."""
-    kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(kept, id_col, "left_semi")
+    """The rows of ``df`` that stay, with their columns. Rows with a null id stay, and so do all rows of an id of which one stays."""
+    gone = exact_dedup(df, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept and doc_id is not null")
+    return df.join(gone.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*df.columns)

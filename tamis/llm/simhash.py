@@ -210,6 +210,6 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``df`` for each component: the one whose id names it. Rows with a null id stay."""
-    keep = simhash_components(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(keep, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    """One document of ``df`` for each component: the one whose id names it. Rows with a null id stay."""
+    gone = simhash_components(df, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return df.join(gone, id_col, "left_anti").select(*df.columns)
