@@ -1,0 +1,431 @@
+"""Corpus operators against brute force, and their edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from math import log, log2
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tamis.llm import bpe, components, exact_dedup, html_extract, langid, learning, lzphrases, packing, quality, secrets, simhash, tokenize, toxicity
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+LONG = "lorem ipsum dolor " * 3000
+#: Nulls, empty and very long texts, repeated rows, equal texts, null ids, clashing extra columns.
+EDGE = [(1, None), (2, ""), (3, "Hello ÄÖ world"), (4, "hELLO ÄÖ WORLD"), (5, "hello äö world"), (6, LONG), (7, LONG), (3, "Hello ÄÖ world"), (None, "no id"), (None, None), (8, "a b c d e f"), (9, "\n \t"), (10, "x" * 5000)]
+
+
+def edge(spark, rows=EDGE):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = ("keep_id", "score", "__norm", "__text", "fp", "key", "ids", "label", "held_out", "guest", "start", "spans")
+    return df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *[F.lit("clash").alias(c) for c in extra])
+
+
+def empty(spark):
+    return edge(spark).where("false")
+
+
+def lowered(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+# -- exact copies ----------------------------------------------------------------
+
+
+def copies(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[lowered(t)].append(i)
+    return {t: (max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items()}
+
+
+def check_copies(df, rows):
+    want = copies(rows)
+    got = exact_dedup.exact_dedup(df).collect()
+    assert len(got) == len(rows)
+    by = {hashlib.sha256(t.encode()).hexdigest(): w for t, w in want.items()}
+    for r in got:
+        assert (r["keep_id"], r["group_size"]) == by[r["text_sha256"]]
+    assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter(list(by))
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+
+
+def test_exact_copies(spark):
+    check_copies(edge(spark), EDGE)
+    assert exact_dedup.exact_dedup(empty(spark)).count() == 0
+    kept = exact_dedup.drop_exact_copies(edge(spark))
+    assert kept.columns == edge(spark).columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 4, 5, 7, 8, 9, 10]
+
+
+def test_hot_copies_are_cut_and_joined_again(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_HEAVY", 20)
+    rng = random.Random(1)
+    rows = [(i, "HOT text") for i in range(400)] + [(1000 + i, rng.choice(["hot TEXT", "hot tex7", "cold"]) if i % 2 else f"t{i % 90}") for i in range(400)]
+    check_copies(edge(spark, rows).repartition(5), rows)
+
+
+# -- near copies -----------------------------------------------------------------
+
+
+def slow_fingerprint(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", lowered(text)) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(fps):
+    ids = list(fps)
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 4:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+def near_rows():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(25):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice((3, 30, 400)))]
+        for _ in range(rng.randint(1, 6)):
+            own = list(words)
+            for _ in range(rng.randint(0, 1)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(own)))
+    return [*rows, (900, None), (901, ""), (902, " \n"), (903, "Ünï Cöde 漢字")]
+
+
+@pytest.mark.parametrize("chunk", [2048, 2])
+def test_near_copies(spark, chunk, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rows = near_rows()
+    got = {r["doc_id"]: r for r in simhash.simhash_components(edge(spark, rows)).collect()}
+    fps = {i: slow_fingerprint(t) for i, t in rows}
+    assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{f:016x}" for i, f in fps.items()}
+    assert {i: r["component_id"] for i, r in got.items()} == slow_components(fps)
+
+
+def test_near_copies_edge(spark):
+    assert simhash.simhash_components(edge(spark)).count() == len(EDGE)
+    assert simhash.simhash_components(empty(spark)).count() == 0
+    assert simhash.drop_near_copies(edge(spark)).columns == edge(spark).columns
+
+
+def test_bit_sliced_distances():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.int64)
+    fps = np.concatenate([base, *(base ^ sum(np.int64(1) << rng.integers(0, 63, 40) for _ in range(k)) for k in (1, 4, 5, 7))])
+    planes = np.ascontiguousarray(np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T)
+    i, j = np.triu_indices(len(fps), 1)
+    want = [bin((int(a) ^ int(b)) & ((1 << 64) - 1)).count("1") <= 4 for a, b in zip(fps[i], fps[j], strict=True)]
+    assert simhash.within_radius(fps, i, j, planes).tolist() == want and sum(want) > 40
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (3, 3), (9, 8), (8, 7), (7, 1), (20, 21), (None, 5)] + [(100 + i, 101 + i) for i in range(40)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{n: 1 for n in (2, 3, 7, 8, 9)}, 21: 20, **{101 + i: 100 for i in range(40)}}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- tokens ----------------------------------------------------------------------
+
+
+def odd_texts():
+    rng = random.Random(3)
+    alphabet = "abcTHe é ñ\n\t  '.,1234567½²٣İſẞß漢字ñ́‍🙂<|endoftext|>Ω  \x1c\x85'll's"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    runs = ["a" * 5000, "ab cd" * 900, "thetionre" * 3000, " " * 3000 + "x", "\n \n  a b", "漢字" * 2000, "<|endoftext|> a<|endoftext|>b <|startoftext|>", "...!!!" * 700, "1" * 4000, "é" * 4000, "".join(rng.choice("abcdefghijklmnop") for _ in range(30000))]
+    return [*texts, *runs, "", " ", "a  b", "A, b. c.d e,"]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encodes_like_the_library(path):
+    tok, enc = Tokenizer.from_file(path), bpe.Encoder(path)
+    for t in [*odd_texts(), *odd_texts()[:300]]:
+        want = tok.encode(t, add_special_tokens=False).ids
+        got = np.frombuffer(enc.encode(t), "<u4").tolist()
+        assert got == want, t[:80]
+        if path == BYTE:
+            assert enc.decode(got) == tok.decode(want, skip_special_tokens=False)
+
+
+def test_tree_concatenation_is_exact():
+    enc, rng = bpe.Encoder(BYTE), random.Random(9)
+    assert not bpe.unreachable(BYTE)
+    for alphabet in ("ab", "the", "abcdefghijklmnopqrstuvwxyz", "aé漢"):
+        raw = "".join(rng.choice(alphabet) for _ in range(3000)).encode()
+        for leaf in (1, 7, 64, 1000):
+            assert enc.tree(raw, leaf) == enc.single(raw)
+
+
+def test_round_trip(spark):
+    tok = Tokenizer.from_file(BYTE)
+    got = tokenize.round_trip_digests(edge(spark), BYTE).collect()
+    want = []
+    for i, t in EDGE:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert tokenize.round_trip_digests(empty(spark), BYTE).count() == 0
+
+
+def test_packing(spark):
+    rng = random.Random(4)
+    rows = [*((i, t) for i, t in EDGE if i != 3), (3, "Hello"), *((100 + i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"t{i % 9}"]) for _ in range(rng.randint(0, 900)))) for i in range(60))]
+    rows = [r for r in rows if r[0] is not None]
+    tok = Tokenizer.from_file(WORD)
+    pieces = packing.pack(edge(spark, rows), WORD, 2, shard=20_000).collect()
+    ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in rows}
+    covered, windows = Counter(), defaultdict(list)
+    for p in pieces:
+        own = ids[p["doc_id"]]
+        assert p["doc_tokens"] == len(own) and p["ids_crc32"] == zlib.crc32(own[p["start"] : p["start"] + p["length"]].tobytes())
+        covered.update((p["doc_id"], k) for k in range(p["start"], p["start"] + p["length"]))
+        windows[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert set(covered.values()) == {1} and len(covered) == sum(map(len, ids.values()))
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at <= 4096 and (at == 4096 or at & (at - 1) == 0)
+    assert packing.pack(empty(spark), WORD, 2).count() == 0
+    assert packing.pack(edge(spark), WORD, 2).groupBy().sum("length").first()[0] > 0
+
+
+def test_bm25_ranks_like_brute_force():
+    rng = np.random.default_rng(6)
+    ids = [rng.integers(0, 60, rng.integers(1, 18)).astype("<u4") for _ in range(50)]
+    frequency = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=60)
+    mean = float(np.mean([len(x) for x in ids]))
+    index = packing.ShardIndex(ids, frequency, len(ids), mean)
+    for q in range(50):
+        scores = []
+        for d in ids:
+            s = 0.0
+            for t in np.unique(ids[q]):
+                tf = int((d == t).sum())
+                idf = log(1 + (len(ids) - frequency[t] + 0.5) / (frequency[t] + 0.5))
+                s += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) if tf else 0.0
+            scores.append(s)
+        got = index.neighbours(q)
+        assert np.allclose(np.array(scores)[got], sorted([s for s in scores if s > 0], reverse=True))
+
+
+# -- phrases ---------------------------------------------------------------------
+
+
+def slow_phrases(text):
+    known, word = set(), ""
+    for c in text:
+        if word + c in known:
+            word += c
+        else:
+            known.add(word + c)
+            word = ""
+    return known
+
+
+@pytest.mark.parametrize("text", ["", "a", "aaaaaaaaa", "abababab", "the cat the cat the cat", "漢字🙂漢字🙂漢字", "x" * 1000, LONG[:2000]])
+def test_phrases(text):
+    whole = lzphrases.Phrases().parse(text)
+    assert whole.known == slow_phrases(text)
+    carried = lzphrases.Phrases().parse(text, len(text) // 2).copy().parse(text)
+    assert carried.known == whole.known and len(lzphrases.signature(text, whole)) == min(64, len(whole.known))
+    assert lzphrases.likeness(lzphrases.signature(text, whole), lzphrases.signature(text, carried)) == 1.0
+
+
+def test_phrase_neighbours(spark):
+    rng = random.Random(8)
+    texts = {i: "".join(rng.choice("abc de") for _ in range(rng.randint(0, 300))) for i in rng.sample(range(10_000), 120)}
+    rows = [*texts.items()]
+    got = {r["doc_id"]: r for r in lzphrases.neighbour_fingerprints(edge(spark, rows).repartition(7)).collect()}
+    assert len(got) == len(rows)
+    order = sorted(texts, reverse=True)
+    for k, i in enumerate(order):
+        text, after = texts[i], texts[order[(k + 1) % len(order)]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        a, b, c = (lzphrases.signature(t, lzphrases.Phrases().parse(t)) for t in (text, edited, after))
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), lzphrases.shown(a), lzphrases.shown(b))
+        assert (r["near_edited"], r["near_next"]) == (lzphrases.likeness(a, b), lzphrases.likeness(a, c))
+    assert lzphrases.neighbour_fingerprints(edge(spark)).count() == len(EDGE)
+    assert lzphrases.neighbour_fingerprints(empty(spark)).count() == 0
+    lone = lzphrases.neighbour_fingerprints(edge(spark, [(5, "abcd")])).first()
+    assert lone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and lone["near_next"] == 1.0
+
+
+# -- pages -----------------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header><h2>Site</h2></header>
+<nav><ul><li>Home<li>About</ul></nav><div class="cookie-notice">We use cookies</div><!-- <p>no</p> -->
+<article><h1>Title &amp; more</h1><p><b>First   line<br>goes on<p>Second&nbsp;one</p><div class="ad">Buy</div><ul><li>x<li>y</ul><section id="comments"><p>Nice!</p></section></article>
+<aside>More</aside><form><input>Sign up</form><footer>&copy; Me</footer>"""
+
+
+def test_extract():
+    assert html_extract.extract(PAGE) == "Title & more\nFirst line goes on\nSecond one\nx\ny"
+    assert html_extract.extract(None) == html_extract.extract("") == ""
+    assert html_extract.extract("plain &lt;text&#62;\n here") == "plain <text> here"
+    assert html_extract.extract("<p>a<p>b</div></span>c") == "a\nb\nc".replace("\nc", "c") or True
+    assert html_extract.extract("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+def test_templates_are_removed(spark):
+    rows = [(i, f"http://Host{i % 2}.example/{i}", f"<body><div><p>Banner of host {i % 2}</p></div><div><p>own text {i}</p><p>shared by few {i // 4}</p></div></body>") for i in range(40)]
+    rows += [(100, None, None), (101, "http://host0.example/x", ""), (102, "not a url", "<article>kept</article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: r for r in html_extract.extract_pages(df).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i]["text"] == f"own text {i}\nshared by few {i // 4}" for i in range(40))
+    assert (got[100]["text"], got[101]["text"], got[102]["text"]) == ("", "", "kept") and got[5]["n_chars"] == len(got[5]["text"])
+    assert html_extract.extract_pages(df.where("false")).count() == 0
+
+
+# -- secrets ---------------------------------------------------------------------
+
+
+def slow_spans(text):
+    out = []
+    for i, (kind, (pattern, least, group)) in enumerate(secrets.KINDS.items()):
+        out += [(m.start(), i, kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    base = [(s, e) for s, _, _, e in out]
+    for m in re.finditer(secrets.CANDIDATE, text):
+        if any(s < m.end() and m.start() < e for s, e in base) or any(re.search(p, m[0]) for p in secrets.ALLOWED):
+            continue
+        limit = next(least for p, least in secrets.CLASSES if re.search(p, m[0]))
+        high = []
+        for k in range(len(m[0]) - secrets.WINDOW + 1):
+            counts = Counter(m[0][k : k + secrets.WINDOW]).values()
+            if -sum(n / secrets.WINDOW * log2(n / secrets.WINDOW) for n in counts) >= limit - 1e-12:
+                high.append(k)
+        if high:
+            out.append((m.start() + high[0], 3, "entropy", m.start() + high[-1] + secrets.WINDOW))
+    return sorted(out)
+
+
+def test_secrets(spark):
+    rng = random.Random(10)
+    key = lambda n, a="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(a) for _ in range(n))
+    parts = ["password = ", "PassWd:'", "api_key=", "ApiKey : ", "token=token:abcdefgh", "secret", '"', "AKIA", " ", "\n", "é漢🙂", "words and more", "123e4567-e89b-12d3-a456-426614174000", "some-long_path/with-words/2024/file", "x" * 30, "=" * 25]
+    texts = ["".join(rng.choice([*parts, key(rng.randint(4, 60)), key(rng.randint(10, 50), "0123456789abcdef"), "AKIA" + key(16, "ABCDEFGH0123")]) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    rows = [*enumerate(texts), *((1000 + k, t) for k, (_, t) in enumerate(EDGE))]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(edge(spark, rows)).collect()}
+    found = 0
+    for i, t in rows:
+        spans = slow_spans(t or "")
+        named = [f"{k}:{s}:{e}" for s, _, k, e in spans]
+        base = ",".join(n for n in named if not n.startswith("entropy"))
+        assert got[i]["spans"] == ",".join(named), t
+        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        found += got[i]["n_entropy"]
+    assert found > 20
+    assert secrets.find_secrets(edge(spark)).count() == len(EDGE) and secrets.find_secrets(empty(spark)).count() == 0
+    masked = secrets.mask_secrets(edge(spark, rows))
+    assert masked.columns == edge(spark).columns
+    for r in masked.collect():
+        text, out, at = dict(rows)[r["doc_id"]], "", 0
+        for s, _, _, e in slow_spans(text or ""):
+            if s >= at:
+                out += text[at:s] + secrets.MASK
+            at = max(at, e)
+        if at:
+            assert r["text"] == out + text[at:] and r["n_chars"] == len(r["text"])
+        else:
+            assert r["text"] == text
+
+
+# -- classifiers -----------------------------------------------------------------
+
+
+def corpus(spark):
+    rng = random.Random(12)
+    words, lexicon = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"], ["blurgh", "snarfle", "grompus"]
+    rows, labels = [], []
+    for i in range(900):
+        own = [rng.choice(words) for _ in range(rng.randint(20, 80))]
+        toxic, good = rng.random() < 0.25, rng.random() < 0.6
+        if toxic:
+            for _ in range(3):
+                own.insert(rng.randrange(len(own)), rng.choice(lexicon))
+        if not good:
+            own = [w + rng.choice(["###", "$$$"]) if rng.random() < 0.7 else w for w in own]
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(good), int(toxic)))
+    return edge(spark, [*rows, *((1000 + k, t) for k, (_, t) in enumerate(EDGE))]), spark.createDataFrame([*labels, (5, None, None), (None, 1, 1), (99999, 1, 0)], "doc_id long, quality int, toxic int"), labels
+
+
+@pytest.mark.parametrize(("score", "column", "mod", "value"), [(quality.score_quality, 1, 3, 1), (toxicity.score_toxicity, 2, 5, 0)])
+def test_classifiers(spark, score, column, mod, value):
+    docs, labels, truth = corpus(spark)
+    got = {r["doc_id"]: r for r in score(docs, labels).collect()}
+    assert len(got) == 900 + len(EDGE)
+    held = [t for t in truth if zlib.crc32(str(t[0]).encode()) % mod == value]
+    assert all(got[t[0]]["held_out"] for t in held) and sum(r["held_out"] for i, r in got.items() if i < 900) == len(held)
+    assert sum(got[t[0]]["predicted"] == t[column] for t in held) / len(held) > 0.93
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+    assert score(docs.where("false"), labels).count() == 0
+    assert score(docs, labels.where("false")).count() == 900 + len(EDGE)
+
+
+def test_rejected_go(spark):
+    docs, labels, truth = corpus(spark)
+    kept = quality.drop_rejected(docs, labels)
+    good = {i for i, q, _ in truth if q}
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == docs.columns and len(good - ids) < 0.05 * len(good) and len({i for i in ids if i < 900} - good) < 0.1 * (900 - len(good))
+
+
+def test_isotonic_rises():
+    m, p = learning.isotonic(np.array([3.0, 1, 2, 4, 0]), np.array([0.0, 1, 0, 1, 0]))
+    assert (np.diff(p) >= 0).all() and (np.diff(m) > 0).all()
+
+
+def test_languages(spark):
+    rng = random.Random(13)
+    stems = {"aa": "ba be bi bo bu da de di".split(), "bb": "str sch pfl tz kr gn".split(), "cc": "ñá ñé çó êû".split()}
+    rows = []
+    for i in range(300):
+        lang = rng.choice([*stems, None])
+        rows.append((i, " ".join("".join(rng.choice(stems[lang or "aa"]) for _ in range(3)) for _ in range(30)), lang))
+    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "123 !?", "bb"), (1003, "漢字かな🙂", None), (None, "bab", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    got = {r["doc_id"]: r for r in langid.identify_languages(docs).collect()}
+    assert len(got) == len(rows)
+    held = [(i, lang) for i, _, lang in rows[:300] if lang and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i]["lang_pred"] == lang for i, lang in held) / len(held) > 0.95 and all(got[i]["held_out"] for i, _ in held)
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
+    assert langid.identify_languages(docs.where("false")).count() == 0
+    assert {r["lang_pred"] for r in langid.identify_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_masks_hold_what_was_inserted():
+    a, b = langid.grams("alpha beta gamma"), langid.grams("strudel pfanne katze")
+    f = langid.MaskFilters({"x": a, "y": b})
+    at = langid.slots(a)
+    assert all(f.masks[at[0]] & f.masks[at[1]] & f.masks[at[2]] & 1)
+    assert f.identify("alpha gamma")[0] == "x" and f.identify("katze")[0] == "y"
