@@ -16,11 +16,14 @@ from tamis.llm.learning import SAMPLE, Boosted, labelled_sample, matrix, scored
 
 WORD = re.compile(r"[^\W_]+(?:[@$*!0-9]+[^\W_]+)*")
 HIDDEN = re.compile(r"[^\W\d_][@$*!0-9]+[^\W\d_]")
-DRAWN = re.compile(r"(\w)\1\1")
+#: Letters and digits, and capitals, by code point.
+ALNUM, UPPER = (np.array([f(chr(c)) for c in range(0x10000)]) for f in (str.isalnum, str.isupper))
 #: Fixed value: digits and signs that stand for letters.
 PLAIN = str.maketrans("013457@$!", "oieastasi")
 #: Fixed value: second-person words of the languages at hand.
 YOU = frozenset("you your yours yourself u du dich dir dein deine ihr euch euer tu toi te ton ta tes vous votre vos tú ti tus usted ustedes vosotros os".split())
+#: Words whose weight is remembered.
+REMEMBER = 300_000
 #: Stem lengths that the lexicon learns beside whole words; entries at most; documents an entry is in at least; words that count as near.
 STEMS, ENTRIES, LEAST, NEAR = (4, 5, 6), 2000, 4, 5
 
@@ -53,31 +56,63 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return {r["stem"]: r["odds"] for r in rows}
 
 
+class Weights(dict):
+    """Strength of each word and whether only its plain spelling is in the lexicon; frequent words are remembered."""
+
+    NOTHING = (0.0, False)
+
+    def __init__(self, lexicon: dict[str, float]) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+
+    def of(self, word: str) -> float:
+        return max([self.lexicon.get(s, 0.0) for s in stems(word)])
+
+    def __missing__(self, word: str) -> tuple[float, bool]:
+        weight = self.of(word)
+        plain = 0.0 if word.isalpha() else self.of(word.translate(PLAIN))
+        found = (max(weight, plain), not weight and plain > 0) if weight or plain else self.NOTHING
+        if len(self) < REMEMBER:
+            self[word] = found
+        return found
+
+
 class Features:
     """Dense features of a text, given the lexicon."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.lexicon = lexicon
+        self.weights = Weights(lexicon)
+
+    def __getstate__(self) -> dict[str, float]:
+        return self.weights.lexicon
 
-    def weight(self, word: str) -> float:
-        return max(map(self.lexicon.get, stems(word), (0.0,) * (len(STEMS) + 1)))
+    def __setstate__(self, lexicon: dict[str, float]) -> None:
+        self.weights = Weights(lexicon)
 
     def __call__(self, text: str) -> list[float]:
         words = WORD.findall(text)
         lower = [w.lower() for w in words]
         n, chars = max(1, len(words)), max(1, len(text))
-        weights = {w: self.weight(w) for w in set(lower)}
-        odd = {w: self.weight(w.translate(PLAIN)) for w in weights if not w.isalpha()}
-        hits = [i for i, w in enumerate(lower) if weights[w] > 0 or odd.get(w, 0) > 0]
-        strength = [max(weights[lower[i]], odd.get(lower[i], 0)) for i in hits]
-        you = [i for i, w in enumerate(lower) if w in YOU]
-        near = int((np.abs(np.subtract.outer(np.array(hits[:4096]), np.array(you))).min(1) <= NEAR).sum()) if hits and you and len(you) * min(len(hits), 4096) < 4e6 else sum(any(j in YOU for j in lower[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
+        found = [self.weights[w] for w in lower]
+        hits = [i for i, f in enumerate(found) if f is not Weights.NOTHING]
+        strength = [found[i][0] for i in hits]
+        you = np.array([i for i, w in enumerate(lower) if w in YOU])
+        near = 0
+        if hits and len(you):  # distance to the nearest second-person word on either side
+            at = np.searchsorted(you, hits)
+            before = np.where(at > 0, np.array(hits) - you[np.maximum(at - 1, 0)], NEAR + 1)
+            after = np.where(at < len(you), you[np.minimum(at, len(you) - 1)] - np.array(hits), NEAR + 1)
+            near = int((np.minimum(before, after) <= NEAR).sum())
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        letters = ALNUM[np.minimum(codes, len(ALNUM) - 1)]
+        drawn = int(((codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2]) & letters[2:]).sum()) if len(codes) > 2 else 0
+        strong = sum(s > 3 for s in strength)
         return [
             len(hits) / n, float(np.log1p(len(hits))), sum(strength) / n, max(strength, default=0.0), float(len({lower[i] for i in hits})),
-            sum(s > 3 for s in strength) / n, float(np.log1p(sum(s > 3 for s in strength))), near / n, float(np.log1p(near)), len(you) / n,
-            sum(c.isupper() for c in text) / chars, sum(w.isupper() and len(w) > 1 for w in words) / n,
+            strong / n, float(np.log1p(strong)), near / n, float(np.log1p(near)), len(you) / n,
+            float(UPPER[np.minimum(codes, len(UPPER) - 1)].sum()) / chars, sum(w.isupper() and len(w) > 1 for w in words) / n,
             text.count("!") / chars, text.count("?") / chars, sum(map(text.count, ".,;:#$%&*|")) / chars,
-            len(HIDDEN.findall(text)) / n, len(DRAWN.findall(text)) / n, sum(v > 0 and weights[w] == 0 for w, v in odd.items()) / n,
+            sum(not w.isalpha() and HIDDEN.search(w) is not None for w in lower) / n, drawn / n, sum(found[i][1] for i in hits) / n,
             float(np.log1p(n)), n / chars,
         ]
 
