@@ -1,8 +1,8 @@
 """Lempel-Ziv phrase fingerprints.
 
 A text is parsed once from the left into phrases, each the longest known phrase
-and one character more; the set of phrases is hashed and the smallest hashes
-make the fingerprint. The share of common values among the smallest of both
+and one character more (the edited text carries on from the middle); the set of
+phrases is hashed and the smallest hashes make the fingerprint. The share of common values among the smallest of both
 estimates the likeness of two phrase sets, which behaves like a compression
 distance: shared passages parse into shared phrases.
 
@@ -24,67 +24,36 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import bounded_batches, text_of
 
-#: Hashes kept of a text, each of 32 bits; the length from which the search for the longest known phrase starts.
-KEPT, GUESS = 64, 4
+#: Hashes kept of a text, each of 32 bits.
+KEPT = 64
 #: Fixed value: an odd multiplier for the rolling hash modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-class Phrases:
-    """A parse that can be carried on: phrase set, starts and ends so far, and where the next phrase begins."""
-
-    def __init__(self) -> None:
-        self.known: set[str] = set()
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-        self.at = 0
-
-    def copy(self) -> Phrases:
-        other = Phrases()
-        other.known, other.starts, other.ends, other.at = set(self.known), list(self.starts), list(self.ends), self.at
-        return other
-
-    def parse(self, text: str, upto: int | None = None) -> Phrases:
-        """Parse on, to the end of ``text`` or as long as phrases end at or before ``upto``.
-
-        Phrases are closed under prefixes, so the length of the longest known one can
-        be approached from any guess. What is left at the end is the last phrase.
-        """
-        known, starts, ends, n = self.known, self.starts, self.ends, len(text)
-        stop, i, guess = n if upto is None else upto, self.at, GUESS
-        add = known.add
-        while i < stop:
-            j = i + guess
-            if j > n:
-                j = n
-            if text[i:j] in known:
-                while j < n:
-                    j += 1
-                    if text[i:j] not in known:
-                        break
-            else:
-                while j > i + 1 and text[i : j - 1] not in known:
-                    j -= 1
-            if j > stop:
-                break
-            add(text[i:j])
-            starts.append(i)
-            ends.append(j)
-            i = j
-        self.at = i
-        return self
-
-
-def signature(text: str, phrases: Phrases) -> np.ndarray:
-    """The KEPT smallest different 32-bit hashes of the phrases, ascending."""
-    starts, ends = phrases.starts, phrases.ends
-    if phrases.at < len(text):  # a rest that is a known phrase or was cut
-        starts, ends = [*starts, phrases.at], [*ends, len(text)]
-    if not starts:
+def parse(text: str, known: set[str] | frozenset[str] = frozenset(), word: str = "") -> tuple[list[str], str]:
+    """Phrases of ``text`` in order, beside those ``known`` before, and the part of a phrase that is left.
+
+    ``word`` is what was left of the text before; the left part is always a known phrase.
+    """
+    own: set[str] = set()
+    add, out = own.add, []
+    for c in text:
+        word += c
+        if word not in own and word not in known:
+            add(word)
+            out.append(word)
+            word = ""
+    return out, word
+
+
+def hashes(phrases: list[str]) -> np.ndarray:
+    """32-bit hashes of phrases."""
+    if not phrases:
         return np.zeros(0, np.uint32)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    s, e = np.array(starts), np.array(ends)
+    codes = np.frombuffer("".join(phrases).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    e = np.cumsum(np.fromiter(map(len, phrases), np.int64, len(phrases)))
+    s = np.r_[0, e[:-1]]
     with np.errstate(over="ignore"):
         power = powers(len(codes))
         sums = np.r_[np.uint64(0), np.cumsum(codes * power[0][: len(codes)], dtype=np.uint64)]
@@ -93,8 +62,21 @@ def signature(text: str, phrases: Phrases) -> np.ndarray:
         h *= np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(33)
         h *= np.uint64(0xC4CEB9FE1A85EC53)
-    small = (h >> np.uint64(32)).astype(np.uint32)
-    return np.unique(small)[:KEPT]
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def smallest(h: np.ndarray) -> np.ndarray:
+    """The KEPT smallest different values, ascending."""
+    if len(h) > 4 * KEPT:
+        part = np.unique(np.partition(h, 2 * KEPT)[: 2 * KEPT])
+        if len(part) >= KEPT:
+            return part[:KEPT]
+    return np.unique(h)[:KEPT]
+
+
+def signature(text: str) -> np.ndarray:
+    """Fingerprint of a text: the smallest hashes of its phrases."""
+    return smallest(hashes(parse(text)[0]))
 
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -116,8 +98,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of phrases in common; two empty texts are alike, an empty and another are not."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:KEPT]
-    return float((np.isin(both, a) & np.isin(both, b)).sum() / len(both))
+    one, two = set(a.tolist()), set(b.tolist())
+    both = sorted(one | two)[:KEPT]
+    return len(one & two & set(both)) / len(both)
 
 
 def shown(sig: np.ndarray) -> str:
@@ -175,18 +158,21 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        last = None  # id, text, whether a guest, parse up to the middle, signature
+        last = None  # id, text, whether a guest, phrases of the first half, signature
 
         def opened(doc: int | None, text: str, guest: bool) -> tuple:
-            middle = Phrases().parse(text, len(text) - len(text) // 2)
-            whole = middle.copy().parse(text)
-            return doc, text, guest, middle, signature(text, whole)
+            middle = len(text) - len(text) // 2
+            first, left = parse(text[:middle])
+            known, head = frozenset(first), hashes(first)
+            rest, _ = parse(text[middle:], known, left)
+            return doc, text, guest, (known, left, head), smallest(np.concatenate([head, hashes(rest)]))
 
         def close(a: tuple, b: tuple) -> None:
-            doc, text, _, middle, sig = a
+            doc, text, _, (known, left, head), sig = a
             half = len(text) // 2
-            edited = text[: len(text) - half] + b[1][:half]
-            other = signature(edited, middle.parse(edited))
+            added = b[1][:half]
+            edited = text[: len(text) - half] + added
+            other = smallest(np.concatenate([head, hashes(parse(added, known, left)[0])]))
             digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
             out.append((doc, len(text), digest, shown(sig), shown(other), likeness(sig, other), likeness(sig, b[4])))
 
