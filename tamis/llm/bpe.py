@@ -47,6 +47,20 @@ def byte_symbols() -> dict[str, int]:
     return table
 
 
+class Known(dict):
+    """Ids of pieces by text; what is not there yet is encoded, and remembered while there is room."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder, self.blank = encoder, " " if encoder.blank else ""
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.encoder._ids(text, self.blank)
+        if len(self) < REMEMBER and len(text) <= 64:
+            self[text] = ids
+        return ids
+
+
 class Encoder:
     """Encodes like ``Tokenizer.encode(text, add_special_tokens=False)`` and decodes like ``decode(ids, skip_special_tokens=False)``."""
 
@@ -83,7 +97,7 @@ class Encoder:
         self.core = tiktoken.Encoding("ranks", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.single = self.core.encode_single_piece
         self.raw_of = {i: b for b, i in ranks.items()}
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self)
         self.stops: dict[str, bytes] = {}
         self.stops = {c: self._ids(c) for c in ".,"}
 
@@ -137,12 +151,13 @@ class Encoder:
     def _ids(self, text: str, blank: str = "") -> bytes:
         """Ids of what stands between two cuts."""
         if PLAIN.match(text):
+            known = self.known if blank or not self.blank else {}
+            word = text.lower() if self.lower else text
             if text.isalpha():
-                return self._word(text.lower() if self.lower else text, blank)
-            letters = text[:-1]
-            if letters.isalpha() and text[-1] in ".,":  # a frequent case: the word is often known
-                ids = self.known.get(letters) if blank or not self.blank else None
-                return (ids or self._word(letters.lower() if self.lower else letters, blank)) + self.stops[text[-1]]
+                return (word != text and known.get(word)) or self._word(word, blank)
+            letters = word[:-1]
+            if letters.isalpha() and word[-1] in ".,":  # a frequent case: the word is often known
+                return (known.get(letters) or self._word(letters, blank)) + self.stops[word[-1]]
         end = END if self.suffix else b""
         return array("I", [i for p in self._split(blank + text) for i in self.piece(p + end)]).tobytes()
 
@@ -154,18 +169,8 @@ class Encoder:
         return text.split(" ")
 
     def _plain(self, text: str) -> bytes:
-        known, blank = self.known, " " if self.blank else ""
         first, *rest = self._cut(text)
-        out = [self._ids(first)] if first else []
-        for word, ids in zip(rest, map(known.get, rest), strict=True):
-            if ids is None:
-                ids = known.get(word)  # perhaps a word of this text, seen since
-                if ids is None:
-                    ids = self._ids(word, blank)
-                    if len(known) < REMEMBER and len(word) <= 64:
-                        known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return (self._ids(first) if first else b"") + b"".join(map(self.known.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""

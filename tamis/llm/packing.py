@@ -135,16 +135,17 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
     tokens = materialise(encode_texts(df, path, id_col, text_col))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, length, rows = np.zeros(1, np.int64), 0, 0
+        total, last, length, rows = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
         for b in batches:
             for t in b.column(0):
                 ids = np.frombuffer(t.as_py(), "<u4")
                 length, rows = length + len(ids) + 1, rows + 1
                 if len(ids):
-                    own = np.bincount(ids) > 0
-                    if len(own) > len(total):
-                        total = np.pad(total, (0, len(own) - len(total)))
-                    total[: len(own)] += own
+                    if (top := int(ids.max())) >= len(total):
+                        total, last = (np.pad(x, (0, top + 1)) for x in (total, last))
+                    place = np.arange(len(ids))
+                    last[ids] = place  # a term's last place in the document
+                    total[ids[last[ids] == place]] += 1
         terms = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[terms, -1, -2]), pa.array(np.r_[total[terms], rows, length])], ["term", "n"])
 
