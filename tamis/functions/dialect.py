@@ -15,7 +15,12 @@ SPACE = r"\t\n\f\r "
 LONGEST = 2000
 
 
-def ascii_dialect(pattern: str, engine: str = "re2j") -> str:
+def plain_dialect(pattern: str, engine: str = "re2j") -> str:
+    """The same for texts of ASCII only, where boundaries need no rewriting."""
+    return ascii_dialect(pattern, engine, boundaries=False)
+
+
+def ascii_dialect(pattern: str, engine: str = "re2j", *, boundaries: bool = True) -> str:
     """``pattern`` as Spark must see it to match like the chosen engine."""
     if len(pattern) > LONGEST:
         raise ValueError(f"pattern longer than {LONGEST} characters")
@@ -31,9 +36,9 @@ def ascii_dialect(pattern: str, engine: str = "re2j") -> str:
                 out.append(SPACE if inside else f"[{SPACE}]")
             elif e == "S":
                 out.append(f"[^{SPACE}]")  # inside a class: a nested one, which the engine joins
-            elif e == "b" and not inside:
+            elif e == "b" and not inside and boundaries:
                 out.append(BOUNDARY)
-            elif e == "B" and not inside:
+            elif e == "B" and not inside and boundaries:
                 out.append(INSIDE)
             else:
                 out.append("\\" + e)

@@ -7,33 +7,44 @@ if it overlaps no kept match of a type before its own.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.config import PRIORITY, Config
 from tamis.functions import text as fn
-from tamis.functions.dialect import ascii_dialect
+from tamis.functions.dialect import ascii_dialect, plain_dialect
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 TYPED = "array<struct<start:int,end:int,type:string,value:string>>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` a lambda variable, computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find_all(text: Column, pattern: str, engine: str = "re2j") -> Column:
     """All non-overlapping leftmost matches, left to right: array of (start, end, value), in code points."""
     own = ascii_dialect(pattern, engine)
-    hits = F.regexp_extract_all(text, F.lit(own), F.lit(0))
-    gaps = F.split(text, own, -1)  # no default pattern matches the empty text, so one gap more than matches
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"))
+    native = F.lit(plain_dialect(pattern, engine))
+    # In a text without other characters the engine's own boundaries mean the same and are quicker.
+    regex = F.when(F.octet_length(text) == F.char_length(text), native).otherwise(F.lit(own))
+    hits = F.regexp_extract_all(text, regex, F.lit(0))
+    gaps = F.split(text, regex, -1)  # no default pattern matches the empty text, so one gap more than matches
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["hit"])
         return F.struct(end.alias("at"), F.concat(s["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("found"))
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")), step, lambda s: s["found"])
-    return F.when(text.rlike(own), spans).otherwise(F.array().cast(SPAN))
+    def placed(both: Column) -> Column:
+        pairs = F.arrays_zip(both["hits"].alias("hit"), F.slice(both["gaps"], F.lit(1), F.size(both["hits"])).alias("gap"))
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")), step, lambda s: s["found"])
+
+    spans = once(F.struct(hits.alias("hits"), gaps.alias("gaps")), placed)
+    return F.when(F.rlike(text, regex), spans).otherwise(F.array().cast(SPAN))
 
 
 def _overlaps(spans: Column, s: Column) -> Column:
@@ -50,9 +61,8 @@ def with_indicators(df: DataFrame, text_col: str = "refanged", patterns: Mapping
     kinds = [t for t in PRIORITY if patterns.get(t)]
     if not kinds:
         return df.withColumn(out, F.array().cast(TYPED))
-    text = F.col(text_col)
 
-    def typed(kind: str) -> Column:
+    def typed(kind: str, text: Column) -> Column:
         return F.transform(find_all(text, patterns[kind], engine), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("type"), s["value"].alias("value")))
 
     # One fold over all matches, types in order of priority: the kept ones are a variable of the fold,
@@ -60,8 +70,10 @@ def with_indicators(df: DataFrame, text_col: str = "refanged", patterns: Mapping
     def claim(kept: Column, s: Column) -> Column:
         return F.when(_overlaps(kept, s), kept).otherwise(F.concat(kept, F.array(s)))
 
-    matches = F.concat(*[typed(k) for k in kinds])
-    return df.withColumn(out, F.array_sort(F.aggregate(matches, F.array().cast(TYPED), claim)))
+    def claimed(text: Column) -> Column:
+        return F.array_sort(F.aggregate(F.concat(*[typed(k, text) for k in kinds]), F.array().cast(TYPED), claim))
+
+    return df.withColumn(out, once(F.col(text_col), claimed))
 
 
 def extract(df: DataFrame, config: Config | None = None, text_col: str = "text") -> DataFrame:
@@ -70,7 +82,7 @@ def extract(df: DataFrame, config: Config | None = None, text_col: str = "text")
 
     config = config or Config()
     refanged = df.withColumn("refanged", fn.refang(F.col(text_col), config.refang))
-    return with_indicators(refanged, "refanged", config.patterns, config.engine).withColumn("markers", markers(F.col("refanged"), config.markers, config.engine))
+    return with_indicators(refanged, "refanged", config.patterns, config.engine).withColumn("markers", once(F.col("refanged"), lambda t: markers(t, config.markers, config.engine)))
 
 
 def exploded(df: DataFrame, *keep: str) -> DataFrame:

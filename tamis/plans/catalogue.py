@@ -19,14 +19,14 @@ from tamis.operators.extract import exploded, extract, find_all, with_indicators
 from tamis.plans import diagnostics, feed
 from tamis.plans.extraction import featured, indicators, retained
 from tamis.sources import csvio, documents, ledger
-from tamis.sources.tables import materialise, shared_folder
+from tamis.sources.tables import materialise, shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = Config()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _refanged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tamis.sources.tables import spread
+
 _ID = "CAST(page_id AS STRING)"
 _HOST = "regexp_extract(url, '://([^/:?#]*)', 1)"
 _NL = "chr(10)"
@@ -47,7 +49,7 @@ SPARK = {"sha256": "sha2(url, 256)"}
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.format(**SPARK).replace("FROM pages", "FROM {pages}"), pages=spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return spark.sql(sql.format(**SPARK).replace("FROM pages", "FROM {pages}"), pages=spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")))
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:

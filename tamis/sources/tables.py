@@ -47,3 +47,9 @@ def materialise(df: DataFrame) -> DataFrame:
 
     atexit.register(forget)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it comes in fewer pieces, as a small file does; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
