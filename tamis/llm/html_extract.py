@@ -1,10 +1,12 @@
 """Main text of web pages, with removal of what a site's template repeats.
 
 A page is parsed into a tree. Subtrees are hashed bottom-up; Spark counts on how
-many pages of a host each occurs, and those that recur on many are deleted.
-Elements that by tag or class are menus, adverts, comments and the like go in
-any case. Where a page marks its article, the article's own paragraphs are safe
-from the count, so copies of an article on a host do not erase it.
+many pages of a host each occurs, inside a marked article as well as outside,
+and those that recur on many are deleted wherever they stand. Pages with the
+same content (the text of the article, or of the page if it marks none) count
+once, so copies of an article on a host do not erase it. Elements that by tag or
+class are menus, adverts, comments and the like go in any case. Only where a host
+has too few contents for a count does the marked article stand for the main text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import bounded_batches, materialise
 
-#: A subtree belongs to the template if it is on this many pages of a host, and on this share of them.
+#: A subtree belongs to the template if it is on this many pages of a host, and on this share of them (pages of the same content are one).
 LEAST_PAGES, SHARE = 5, 0.2
 #: Host and hash pairs up to which the template is broadcast, after a count; beyond, it is joined.
 BROADCAST_ROWS = 200_000
@@ -30,7 +32,7 @@ RAW = frozenset("script style noscript template iframe textarea title svg xmp no
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "caption", "html", "tbody", "tfoot", "thead", "tr"}
 UNWANTED = frozenset("head nav footer aside form button select dialog menu object canvas audio video map".split())
-OUTSIDE_ONLY = frozenset({"header"})
+OUTSIDE_ONLY, MARKED = frozenset({"header"}), frozenset({"article", "main"})
 UNWANTED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist reply replies respond discussion disqus related recommended recommendations share sharing social toolbar pagination pager copyright skip skiplink".split()
 )
@@ -42,12 +44,13 @@ NAME = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "digest", "unwanted")
+    __slots__ = ("tag", "attributes", "children", "digest", "unwanted", "running")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.attributes = tag, attributes
         self.children: list[Element | str] = []
         self.digest = 0
+        self.running = False  # part of running text, which is deleted as a whole or not at all
         self.unwanted = tag in UNWANTED or bool(attributes) and self._named()
 
     def _named(self) -> bool:
@@ -121,13 +124,17 @@ def parse(source: str) -> Element:
 
 
 def _hash(root: Element) -> None:
-    """Digest of each subtree from tag, attributes and children, without recursion."""
+    """Digest of each subtree from tag, attributes and children, and whether it is part of running text, without recursion."""
     stack: list[tuple[Element, bool]] = [(root, False)]
     while stack:
         e, done = stack.pop()
         if not done:
             stack.append((e, True))
-            stack.extend((c, False) for c in e.children if isinstance(c, Element))
+            text = e.running or any(isinstance(c, str) and not c.isspace() for c in e.children)
+            for c in e.children:
+                if isinstance(c, Element):
+                    c.running = text and c.tag not in BLOCK
+                    stack.append((c, False))
             continue
         h = xxhash.xxh64(f"{e.tag} {e.attributes}\0")
         for c in e.children:
@@ -154,18 +161,26 @@ def _main(root: Element) -> Element | None:
 
 
 def subtrees(root: Element) -> set[int]:
-    """Digests of the subtrees outside the marked article, if there is one."""
-    main, out, stack = _main(root), set(), [root]
+    """Digests of the subtrees that can be template: those in unwanted elements go anyway."""
+    out, stack = set(), [root]
     while stack:
         for c in stack.pop().children:
-            if isinstance(c, Element) and c is not main and (c.children or c.tag not in VOID):
-                out.add(c.digest)
+            if isinstance(c, Element) and not c.unwanted and (c.children or c.tag not in VOID):
+                if not c.running:
+                    out.add(c.digest)
                 stack.append(c)
     return out
 
 
-def blocks(top: Element, template: frozenset[int] | set[int] = frozenset(), *, inside: bool = True) -> list[str]:
-    """Texts of the blocks below ``top`` in page order; subtrees of the template and unwanted elements are left out."""
+def content_of(root: Element) -> int:
+    """Hash of the text of the marked article, or of the whole page if that is empty."""
+    main = _main(root)
+    text = "\n".join(blocks(main)) if main else ""
+    return xxhash.xxh64((text or "\n".join(blocks(root))).encode("utf-8", "replace")).intdigest()
+
+
+def blocks(top: Element, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
+    """Texts of the blocks below ``top`` in page order; subtrees of the template, unwanted elements and headers outside an article are left out."""
     out: list[str] = []
     held: list[str] = []
 
@@ -176,19 +191,24 @@ def blocks(top: Element, template: frozenset[int] | set[int] = frozenset(), *, i
             out.append(" ".join(words))
 
     stack: list[Element | str | None] = list(reversed(top.children))
+    within = [-1] if top.tag in MARKED else []  # by open article, what is left on the stack when it ends
     while stack:
         node = stack.pop()
+        while within and len(stack) < within[-1]:
+            within.pop()
         if node is None:
             flush()
         elif isinstance(node, str):
             held.append(node)
-        elif node.unwanted or node.digest in template or node.tag in OUTSIDE_ONLY and not inside:
+        elif node.unwanted or node.digest in template and not node.running or node.tag in OUTSIDE_ONLY and not within:
             if node.tag in BLOCK:
                 flush()
         else:
             if node.tag in BLOCK:
                 flush()
                 stack.append(None)
+                if node.tag in MARKED:
+                    within.append(len(stack))
             elif node.tag in {"br", "td", "th"}:
                 held.append(" ")
             stack.extend(reversed(node.children))
@@ -196,11 +216,14 @@ def blocks(top: Element, template: frozenset[int] | set[int] = frozenset(), *, i
     return out
 
 
-def extract(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page: its blocks joined by line feeds."""
+def extract(source: str | None, template: frozenset[int] | set[int] | None = None) -> str:
+    """The main text of a page: its blocks without the template of its host, joined by line feeds.
+
+    Without a template (the host has too few contents to count) the marked article stands for it.
+    """
     root = parse(source or "")
-    main = _main(root)
-    return "\n".join(blocks(root, template, inside=False) if main is None else blocks(main))
+    main = _main(root) if template is None else None
+    return "\n".join(blocks(main or root, template or frozenset()))
 
 
 def host_of(url: Column) -> Column:
@@ -209,20 +232,24 @@ def host_of(url: Column) -> Column:
 
 
 def template_of(pages: DataFrame) -> DataFrame:
-    """(host, digests): the subtrees that recur on many pages of a host."""
+    """(host, digest, pages): the subtrees that recur on many pages of a host; a null digest counts all its pages.
+
+    Pages of the same content are one. The distinct count is made in two exchanges, the first by content too, so a large host is no heavy key.
+    """
     bounded_batches(pages.sparkSession, 128)
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[tuple[str, int | None], int] = {}
+            seen: dict[tuple[str, int | None, int], None] = {}
             for host, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for digest in (None, *subtrees(parse(source.as_py()))):
-                    seen[host, digest] = seen.get((host, digest), 0) + 1
-            digests = [None if d is None else d - (1 << 63) for _, d in seen]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array(digests, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "digest", "pages"])
+                root = parse(source.as_py())
+                content = content_of(root) - (1 << 63)
+                seen.update(((host, digest, content), None) for digest in (None, *subtrees(root)))
+            digests = [None if d is None else d - (1 << 63) for _, d, _ in seen]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in seen], pa.string()), pa.array(digests, pa.int64()), pa.array([c for _, _, c in seen], pa.int64())], ["host", "digest", "content"])
 
-    counts = rows.mapInArrow(count, "host string, digest long, pages long").groupBy("host", "digest").agg(F.sum("pages").alias("pages"))
+    counts = rows.mapInArrow(count, "host string, digest long, content long").groupBy("host", "digest").agg(F.count_distinct("content").alias("pages"))
     return counts.where(F.col("pages") >= LEAST_PAGES)
 
 
@@ -235,21 +262,22 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     counts = materialise(template_of(pages))
     totals = counts.where("digest is null").select("host", F.col("pages").alias("total"))
     many = counts.where("digest is not null").join(totals, "host").where(F.col("pages") >= SHARE * F.col("total"))
-    template = many.groupBy("host").agg(F.collect_list("digest").alias("digests"))  # at most 1 / SHARE times the subtrees of a page
+    known = many.select("host", "digest").unionByName(totals.select("host", F.lit(None).cast("long").alias("digest")))  # a host without template has an empty list
+    template = known.groupBy("host").agg(F.collect_list("digest").alias("digests"))  # at most 1 / SHARE times the subtrees of a page
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     small = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(template) if small else template, "host", "left").select("page_id", "url", "html", "digests")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset[int]] = {}
+        sets: dict[tuple | None, frozenset[int] | None] = {}
         for b in batches:
             texts = []
             for source, digests in zip(b.column(2), b.column(3).to_pylist(), strict=True):
-                key = tuple(digests or ())
+                key = None if digests is None else tuple(digests)
                 if key not in sets:
                     if len(sets) > 256:
                         sets.clear()
-                    sets[key] = frozenset(d + (1 << 63) for d in key)
+                    sets[key] = None if key is None else frozenset(d + (1 << 63) for d in key)
                 texts.append(extract(source.as_py(), sets[key]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -306,6 +306,17 @@ def test_templates_are_removed(spark):
     assert html_extract.extract_pages(df.where("false")).count() == 0
 
 
+def test_templates_inside_articles_go_and_copies_stay(spark):
+    inside = "<div class='box-7'><p>Read our terms</p></div>"
+    page = lambda own: f"<div class='top'>Site</div><article><h1>{own}</h1>{inside}<p>text of {own}, <b>as always</b></p></article><p>after {own}</p>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(10)] + [(100 + i, "http://a.example/", page("copy")) for i in range(30)]
+    rows += [(200 + i, "http://small.example/", page(i)) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{i}\ntext of {i}, as always\nafter {i}" for i in range(10))
+    assert all(got[100 + i] == "copy\ntext of copy, as always\nafter copy" for i in range(30))
+    assert all(got[200 + i] == f"{i}\nRead our terms\ntext of {i}, as always" for i in range(3))  # too few pages to count
+
+
 # -- secrets ---------------------------------------------------------------------
 
 
