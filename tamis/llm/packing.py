@@ -2,13 +2,17 @@
 
 Documents become token ids once, written to the shared folder. Document
 frequencies of all terms and the mean length are counted over all documents
-(their number is bounded by the vocabulary). Then each task cuts its rows into
-shards of about ``SHARD`` tokens, builds a BM25 inverted index over a shard and
-packs it: a seed document opens a window, its best unused neighbours fill it,
+(their number is bounded by the vocabulary). Before documents are dealt to shards,
+those that are lexically near are brought together over the whole corpus: a tree
+of principal directions, learnt from a bounded sample of BM25 vectors, gives each
+document a place, and the corpus is range-partitioned and sorted by it. Then each
+task cuts its rows into shards of about ``SHARD`` tokens, builds a BM25 inverted
+index over a shard and packs it: a seed document opens a window, its best unused neighbours fill it,
 the first that doesn't fit is cut and its rest seeds the next window. A shard's
 last window is cut to powers of two, so nothing is padded.
 
-Ids are stored as 32-bit integers; the plan shuffles only the counts of terms.
+Ids are stored as 32-bit integers; the plan shuffles them once. A neighbour on the
+other side of a shard's border is not found; the README has the measured recall.
 """
 
 from __future__ import annotations
@@ -22,12 +26,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bounded_batches, materialise
+from tamis.llm.common import bounded_batches, forget, materialise
 from tamis.llm.tokenize import encode_texts
 
 WINDOW, SHARD = 4096, 1 << 20
 #: BM25 parameters, and the terms of a seed that make up its query: those that weigh most in it.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: Order of near documents: dimensions of a vector, documents the tree is learnt from (about), sampled ones in a leaf.
+DIMENSIONS, SAMPLE, LEAF = 64, 20_000, 4
+#: Shards of a task, on average.
+TASK_SHARDS = 2
+
+
+def _principal(x: np.ndarray) -> np.ndarray:
+    """First principal direction of centred rows, by the power method from the longest row."""
+    v = x[(x * x).sum(1).argmax()]
+    for _ in range(12):
+        v = v / max(float(np.sqrt(v @ v)), 1e-9)
+        v = (x @ v) @ x
+    return v / max(float(np.sqrt(v @ v)), 1e-9)
+
+
+class LexicalOrder:
+    """Places of documents such that those with like BM25 vectors are near each other."""
+
+    def __init__(self, frequency: np.ndarray, documents: int, mean_length: float) -> None:
+        self.idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+        self.mean_length = max(mean_length, 1.0)
+        self.levels, self.directions, self.cuts, self.means = 0, np.zeros((1, DIMENSIONS), np.float32), np.zeros(1, np.float32), np.zeros((1, DIMENSIONS), np.float32)
+        self._projection: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_projection": None}
+
+    def vectors(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Random projections of the BM25 vectors, of length one (zero for a document without terms)."""
+        if self._projection is None:
+            self._projection = np.random.default_rng(0).standard_normal((len(self.idf), DIMENSIONS), np.float32)
+        out = np.zeros((len(ids), DIMENSIONS), np.float32)
+        for k, own in enumerate(ids):
+            if len(own):
+                term, count = np.unique(own, return_counts=True)
+                weight = self.idf[term] * (count * (K1 + 1) / (count + K1 * (1 - B + B * len(own) / self.mean_length))).astype(np.float32)
+                v = weight @ self._projection[term]
+                out[k] = v / max(float(np.sqrt(v @ v)), 1e-9)
+        return out
+
+    def fit(self, sample: np.ndarray) -> LexicalOrder:
+        """Split the sample at the median of its first principal direction, again and again."""
+        self.levels = max(0, int(np.log2(max(1, len(sample)) / LEAF)))
+        n = 1 << self.levels
+        self.directions, self.cuts, self.means = np.zeros((n, DIMENSIONS), np.float32), np.zeros(n, np.float32), np.zeros((n, DIMENSIONS), np.float32)
+        node = np.ones(len(sample), np.int64)  # children of k are 2 k and 2 k + 1
+        for level in range(self.levels):
+            for k in range(1 << level, 2 << level):
+                own = sample[node == k]
+                if len(own) > 1:
+                    self.directions[k] = _principal(own - own.mean(0))
+                    self.cuts[k] = np.median(own @ self.directions[k])
+            node = self._below(node, sample)
+        for k in np.unique(node - n).tolist() if self.levels else []:
+            self.means[k] = sample[node - n == k].mean(0)
+        return self
+
+    def _below(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return 2 * node + (np.einsum("ij,ij->i", x, self.directions[node]) > self.cuts[node])
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Leaf, then the signs of the first 32 coordinates relative to the leaf's mean."""
+        node = np.ones(len(x), np.int64)
+        for _ in range(self.levels):
+            node = self._below(node, x)
+        leaf = node - (1 << self.levels)
+        signs = (x - self.means[leaf])[:, :32] > 0
+        return leaf << 32 | (signs.astype(np.int64) << np.arange(31, -1, -1)).sum(1)
 
 
 class ShardIndex:
@@ -123,6 +195,34 @@ def _tail(pieces: list[tuple[int, int, int, int, int]], sequence: int, length: i
     return pieces
 
 
+def in_lexical_order(tokens: DataFrame, frequency: np.ndarray, documents: int, length: int, shard: int) -> DataFrame:
+    """(doc_id, ids) of all documents, with near ones in the same partition and side by side."""
+    spark = tokens.sparkSession
+    empty = spark.sparkContext.broadcast(LexicalOrder(frequency, documents, length / max(documents, 1)))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = empty.value.vectors([np.frombuffer(t.as_py(), "<u4") for t in b.column(0)])
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary())], ["vector"])
+
+    part = min(1.0, SAMPLE / max(documents, 1))
+    sampled = tokens.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < int(part * (1 << 30))).select("ids").mapInArrow(vectors, "vector binary")
+    rows = sorted(r["vector"] for r in sampled.collect())  # about SAMPLE vectors at most
+    order = LexicalOrder(frequency, documents, length / max(documents, 1)).fit(np.frombuffer(b"".join(rows), np.float32).reshape(-1, DIMENSIONS))
+    fitted = spark.sparkContext.broadcast(order)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = fitted.value.vectors([np.frombuffer(t.as_py(), "<u4") for t in b.column(1)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fitted.value.places(x))], ["doc_id", "ids", "place"])
+
+    placed = materialise(tokens.mapInArrow(place, "doc_id long, ids binary, place long"))  # the exchange samples its input first
+    forget(tokens)
+    tasks = max(1, -(-length // (TASK_SHARDS * shard)))
+    by = [F.col("place"), F.xxhash64("doc_id"), F.col("doc_id")]  # copies of a document can go to several tasks
+    return placed.repartitionByRange(tasks, *by).sortWithinPartitions(*by).select("doc_id", "ids")
+
+
 def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -156,6 +256,7 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
     frequency[list(of)] = list(of.values())
     frequency[end_id] = documents
     held = spark.sparkContext.broadcast(frequency)
+    ordered = in_lexical_order(tokens, frequency, documents, length, shard)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,4 +286,4 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
         if docs:
             yield flush(docs, ids)[0]
 
-    return tokens.mapInArrow(packed, ", ".join(f"{c} long" for c in columns))
+    return ordered.mapInArrow(packed, ", ".join(f"{c} long" for c in columns))

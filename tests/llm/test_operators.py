@@ -235,6 +235,20 @@ def test_bm25_ranks_like_brute_force():
         assert np.allclose(np.array(scores)[got], sorted([s for s in scores if s > 0], reverse=True))
 
 
+def test_near_documents_meet_from_far_rows(spark):
+    rng = random.Random(9)
+    topics = [[f"{a}{b}{k}" for a in "bdfg" for b in "aeiou"] for k in ("lm", "rst", "nko", "zup")]
+    rows = [(i, " ".join(rng.choices(topics[i % 4], k=60))) for i in range(800)]  # a shard of rows in storage order has all topics
+    windows = defaultdict(Counter)
+    for p in packing.pack(edge(spark, rows), WORD, 2, shard=20_000).collect():
+        windows[p["sequence_id"]][p["doc_id"] % 4] += p["length"]
+    assert sum(max(w.values()) for w in windows.values()) > 0.85 * sum(sum(w.values()) for w in windows.values())
+    tasks = defaultdict(Counter)
+    for i, w in windows.items():
+        tasks[i >> 36].update(w)
+    assert len(tasks) > 1 and sum(max(w.values()) for w in tasks.values()) > 0.6 * sum(sum(w.values()) for w in tasks.values())
+
+
 # -- phrases ---------------------------------------------------------------------
 
 
