@@ -49,7 +49,7 @@ def features(text: str) -> list[float]:
         *np.sqrt(marks).tolist(),
         float(np.log1p(len(codes))), float(np.log1p(len(words))), distinct / count, float(np.log1p(distinct)), same / count, float(same > 2),
         float(lengths.mean()), float(lengths.std()), float(np.minimum(lengths.max(), 60)), ended, capitals, float(capitals > 0.2),
-        len(set(lines)) / len(lines), float(np.log1p(len(lines))), len(text) / len(lines) / 100 if len(text) < 1e6 else 100.0,
+        len(set(lines)) / len(lines), float(np.log1p(len(lines))), len(text) / len(lines) / 100,
         min(packed, 1.5), float(packed < 0.25), float(marks.sum()), float(marks.max()), float(np.log1p(1000 * marks[:7].sum())),
     ]
 

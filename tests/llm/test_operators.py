@@ -417,6 +417,14 @@ def test_classifiers(spark, score, column, mod, value):
     assert score(docs, labels.where("false")).count() == 900 + len(EDGE)
 
 
+def test_line_length_counts_at_every_size():
+    line = "some clean words " * 6
+    short, long_ = ("\n".join([line[:99]] * n) for n in (9_000, 12_000))
+    assert len(short) < 1_000_000 < len(long_)
+    k = 2 * (quality.CLASSES - 6) + 6 + 14  # mean length of lines
+    assert np.allclose([quality.features(t)[k] for t in (short, long_)], 1.0, atol=1e-3)
+
+
 def test_rejected_go(spark):
     docs, labels, truth = corpus(spark)
     kept = quality.drop_rejected(docs, labels)
