@@ -66,8 +66,8 @@ def extraction_pipeline(spark: SparkSession, config: Config, *, dry_run: bool =
     def read(e: Envelope) -> Envelope:
         found = materialise(read_documents(spark, e.payload, config.charset))
         obs.event("source_read", "success", ioc__source__path=str(e.payload))
-        wrong = [dia.diagnostic("SOURCE.UNSUPPORTED_FORMAT" if r["error"].startswith("UnsupportedFormat") else "SOURCE.READ_FAILED", source=r["path"], reason=r["error"], format=r["path"].rpartition(".")[2]) for r in found.where("error is not null").select("path", "error").limit(20).collect()]
-        empty = [dia.diagnostic("SOURCE.EMPTY_TEXT", source=r["path"]) for r in found.where("trim(text) = ''").select("path").limit(20).collect()]
+        wrong = [dia.diagnostic("SOURCE.UNSUPPORTED_FORMAT" if r["error"].startswith("UnsupportedFormat") else "SOURCE.READ_FAILED", source=r["path"], reason=r["error"], format=r["path"].rpartition(".")[2]) for r in found.where("error is not null").select("path", "error").orderBy("path").toLocalIterator()]
+        empty = [dia.diagnostic("SOURCE.EMPTY_TEXT", source=r["path"]) for r in found.where("trim(text) = ''").select("path").orderBy("path").toLocalIterator()]
         return e.with_payload(found.where("error is null"), *wrong, *empty)
 
     def find(e: Envelope) -> Envelope:

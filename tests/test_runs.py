@@ -11,7 +11,9 @@ import pytest
 
 from tamis import config as cfg
 from tamis.operators.aggregate import INDEX_SCHEMA, aggregate
-from tamis.plans.extraction import extract_source
+from tamis.plans import diagnostics as dia
+from tamis.plans.extraction import READ, extract_source, extraction_pipeline
+from tamis.plans.kernel import envelope
 from tamis.sources import csvio, documents, ledger
 from tamis.sources.inbox import ready_files
 from tamis.sources.lookup import entries
@@ -63,6 +65,16 @@ def test_golden(spark, tmp_path):
     assert black[:4] == ['"forbidden_url";"forbidden_ip"', '"example.com";NULL', '"sub.example.com";NULL', 'NULL;"1.2.3.4"'] and len(black) == 10
 
 
+def test_every_unread_and_empty_file_is_reported(spark, tmp_path):
+    for i in range(25):
+        (tmp_path / f"a{i}.pdf").write_bytes(b"%PDF-1.4")
+        (tmp_path / f"b{i}.txt").write_text(" ")
+    read = next(x for x in extraction_pipeline(spark, settings(tmp_path), dry_run=True).stages if x.name == READ)
+    noted = read.apply(envelope(str(tmp_path), "x")).notification.diagnostics
+    assert [d.code for d in noted] == ["SOURCE.UNSUPPORTED_FORMAT"] * 25 + ["SOURCE.EMPTY_TEXT"] * 25
+    assert dia.fail_fast(read.apply(envelope(str(tmp_path / "b1.txt"), "x")).notification) is None
+
+
 def test_daemon(spark, tmp_path):
     config = settings(tmp_path)
     daemon = Daemon(spark, config, sleep=lambda s: None)
