@@ -1,42 +1,79 @@
 """Byte-pair encoding of whole texts, with tree concatenation for long unsplit text.
 
 A tokenizer file of the tokenizers library gives vocabulary, merges, normaliser
-and splitter. Texts are cut at single blanks, where no pre-token can cross; the
-ids of frequent pieces are remembered. A pre-token longer than ``LEAF`` bytes is
-halved until the leaves are short, the leaves are encoded side by side, and at
-each join a window around the seam is encoded again and grown until its first
-and last tokens are those of the two sides. Then every adjacent pair of tokens
-stems from a correct encoding, and a sequence whose adjacent pairs are all
-correct is itself the encoding.
+and splitter. A text of plain letters is split by the file's pattern, in which
+the letters, digits and spaces are spelt out; other texts are cut at single
+blanks, where no pre-token can cross, and the library's own parts split what
+isn't plain. The ids of pre-tokens are remembered.
+
+A pre-token longer than ``LEAF`` bytes is halved until the leaves are short, the
+leaves are encoded each by itself, and at each join a window around the seam is
+encoded again and grown until its first and last tokens are those of the two
+sides. Then every adjacent pair of tokens stems from a correct encoding, and a
+sequence whose adjacent pairs are all correct is itself the encoding. Leaves of
+one task are encoded one after another (the routine holds the interpreter);
+``tokenize`` deals the halves of very long unsplit texts to several tasks.
 
 Merging is done by tiktoken's routine on the ranks of the file. It merges by
 rank of the result where the library merges listed pairs; the two agree when
-tokens encode to themselves, which the tests check beside whole texts.
+tokens encode to themselves, which the tests check for both files beside whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import regex
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
-#: Bytes of a leaf; leaves of one pre-token from which threads share them; pieces that are remembered.
-LEAF, SHARED, REMEMBER = 512, 64, 250_000
+#: Bytes of a leaf; pre-tokens (and pieces between blanks) that are remembered, and characters up to which they are.
+LEAF, REMEMBER, SHORT = 512, 800_000, 64
 #: Fixed value: marks a word's last byte in the ranks, never part of UTF-8.
 END = b"\xff"
 #: A blank between two characters that aren't white space; what Python holds for white space includes all that the splitters do.
 CUT = re.compile(r" (?<=\S )(?=\S)")
-#: Fixed value: white space beside blank and line feed.
-RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and signs below this code point: the same classes in every Unicode version in use, and already composed.
 PLAIN = re.compile("[\x00-įı-ɏ]*\\Z")  # not the dotted capital I, which lower-cases to two characters
+#: Fixed value: white space below that code point.
+PLAIN_SPACE = "\\t-\\r \\x85\\xa0"
+
+
+def _members(kind: str) -> str:
+    """The plain characters of a category, for a class of a pattern."""
+    own = [c for c in range(0x250) if unicodedata.category(chr(c))[0] == kind]
+    return "".join(f"\\u{c:04x}" for c in own)
+
+
+def plain_pattern(pattern: str) -> re.Pattern[str] | None:
+    """The splitter with its classes spelt out for plain text, which the built-in engine runs quicker; null if it has others."""
+    classes = {r"\p{L}": _members("L"), r"\p{N}": _members("N"), r"\s": PLAIN_SPACE}
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        name = next((k for k in classes if pattern.startswith(k, at)), None)
+        if name:
+            out.append(classes[name] if inside else f"[{classes[name]}]")
+            at += len(name)
+            continue
+        if pattern.startswith(r"\S", at) and not inside:
+            out.append(f"[^{PLAIN_SPACE}]")
+            at += 2
+            continue
+        if pattern[at] == "\\":
+            if pattern[at + 1 : at + 2].isalpha():
+                return None
+            out.append(pattern[at : at + 2])
+            at += 2
+            continue
+        inside = pattern[at] == "[" or inside and pattern[at] != "]"
+        out.append(pattern[at])
+        at += 1
+    return re.compile("".join(out))
 
 
 def byte_symbols() -> dict[str, int]:
@@ -48,15 +85,15 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Known(dict):
-    """Ids of pieces by text; what is not there yet is encoded, and remembered while there is room."""
+    """Ids by text; what is not there yet is encoded, and remembered while there is room."""
 
-    def __init__(self, encoder: Encoder) -> None:
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.encoder, self.blank = encoder, " " if encoder.blank else ""
+        self.encode = encode
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.encoder._ids(text, self.blank)
-        if len(self) < REMEMBER and len(text) <= 64:
+        ids = self.encode(text)
+        if len(self) < REMEMBER and len(text) <= SHORT:
             self[text] = ids
         return ids
 
@@ -76,7 +113,8 @@ class Encoder:
         #: Fixed value: the splitter that the byte-level pre-tokenizer has built in.
         built_in = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.blank = split is None  # a blank belongs to the word after it
-        self.pieces_of = regex.compile(split["pattern"]["Regex"] if split else built_in).findall
+        pattern = split["pattern"]["Regex"] if split else built_in
+        self.plain_pieces = (plain_pattern(pattern) or regex.compile(pattern)).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
@@ -97,9 +135,9 @@ class Encoder:
         self.core = tiktoken.Encoding("ranks", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.single = self.core.encode_single_piece
         self.raw_of = {i: b for b, i in ranks.items()}
-        self.known = Known(self)
-        self.stops: dict[str, bytes] = {}
-        self.stops = {c: self._ids(c) for c in ".,"}
+        #: Ids are kept in the narrowest type.
+        self.code, self.dtype = ("H", "<u2") if max(self.bytes_of) < 1 << 16 else ("I", "<u4")
+        self.known, self.cuts = Known(self._word), Known(self._between)
 
     # -- one pre-token ---------------------------------------------------------
 
@@ -114,11 +152,7 @@ class Encoder:
             spans = [h for s in spans for h in ((s[: len(s) // 2], s[len(s) // 2 :]) if len(s) > 1 else (s,))]
         if spans[-1] == END:  # the mark stays with a byte
             spans[-2:] = [spans[-2] + END]
-        if len(spans) >= SHARED:
-            with ThreadPoolExecutor(2) as pool:
-                level = list(pool.map(self.single, spans))
-        else:
-            level = [self.single(s) for s in spans]
+        level = [self.single(s) for s in spans]
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
@@ -134,49 +168,34 @@ class Encoder:
 
     # -- texts -----------------------------------------------------------------
 
-    def _split(self, text: str) -> list[bytes]:
-        """Normalise and split a piece of text; the library's own parts serve what isn't plain."""
+    def _word(self, token: str) -> bytes:
+        """Ids of a plain pre-token."""
+        return array(self.code, self.piece(token.encode() + (END if self.suffix else b""))).tobytes()
+
+    def _between(self, text: str) -> bytes:
+        """Ids of what stands between two cuts; the library's own parts serve what isn't plain."""
         if PLAIN.match(text):
-            if self.lower:
-                text = "".join(c.lower() for c in text) if not text.isascii() else text.lower()
-            return [p.encode() for p in self.pieces_of(text)]
+            return self._of_plain(text)
         text = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
-        byte = byte_symbols()
-        return [bytes(byte[c] for c in p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        byte, end = byte_symbols(), END if self.suffix else b""
+        return array(self.code, [i for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text) for i in self.piece(bytes(byte[c] for c in p) + end)]).tobytes()
 
-    def _word(self, letters: str, blank: str) -> bytes:
-        """Ids of letters without normalisation, perhaps after a blank."""
-        return array("I", self.piece(f"{blank}{letters}".encode() + (END if self.suffix else b""))).tobytes()
+    def _of_plain(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.plain_pieces(text.lower() if self.lower else text)))
 
-    def _ids(self, text: str, blank: str = "") -> bytes:
-        """Ids of what stands between two cuts."""
+    def _ordinary(self, text: str) -> bytes:
         if PLAIN.match(text):
-            known = self.known if blank or not self.blank else {}
-            word = text.lower() if self.lower else text
-            if text.isalpha():
-                return (word != text and known.get(word)) or self._word(word, blank)
-            letters = word[:-1]
-            if letters.isalpha() and word[-1] in ".,":  # a frequent case: the word is often known
-                return (known.get(letters) or self._word(letters, blank)) + self.stops[word[-1]]
-        end = END if self.suffix else b""
-        return array("I", [i for p in self._split(blank + text) for i in self.piece(p + end)]).tobytes()
-
-    def _cut(self, text: str) -> list[str]:
+            return self._of_plain(text)
         if not self.blank:  # white space is dropped, so each blank is a cut
-            return text.split(" ")
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in RARE_SPACES):
-            return CUT.split(text)
-        return text.split(" ")
-
-    def _plain(self, text: str) -> bytes:
-        first, *rest = self._cut(text)
-        return (self._ids(first) if first else b"") + b"".join(map(self.known.__getitem__, rest))
+            return b"".join(map(self.cuts.__getitem__, filter(None, text.split(" "))))
+        first, *rest = CUT.split(text)
+        return self.cuts[first] + b"".join(self.cuts[" " + t] for t in rest)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        if self.apart is None or "<|" not in text:
-            return self._plain(text)
-        return b"".join(np.uint32(self.special[s]).tobytes() if s in self.special else self._plain(s) for s in self.apart(text))
+        """Ids of a text as little-endian unsigned integers of ``dtype``."""
+        if self.apart is None or not any(s in text for s in self.special):
+            return self._ordinary(text)
+        return b"".join(array(self.code, [self.special[s]]).tobytes() if s in self.special else self._ordinary(s) for s in self.apart(text))
 
     def decode(self, ids: list[int]) -> str:
         """The text that ids spell (byte-level vocabularies); bytes that aren't UTF-8 become replacement characters."""
@@ -190,7 +209,16 @@ def encoder(path: str) -> Encoder:
 
 
 def unreachable(path: str) -> list[str]:
-    """Tokens of a byte-level vocabulary that do not encode to themselves (for tests)."""
-    tok = Tokenizer.from_file(path)
-    special = {t.content for t in tok.get_added_tokens_decoder().values()}
-    return [t for t in tok.get_vocab() if t not in special and [x.value for x in tok.model.tokenize(t)] != [t]]
+    """Tokens that the listed merges do not build from their characters (for tests)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)["model"]
+    suffix = spec.get("end_of_word_suffix") or ""
+    special = {t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()}
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["merges"]]
+    ended, inside = (models.BPE(spec["vocab"], merges, **kind) for kind in ({"end_of_word_suffix": suffix} if suffix else {}, {}))
+
+    def built(token: str) -> list[str]:
+        whole = suffix and token.endswith(suffix)
+        return [x.value for x in (ended.tokenize(token[: -len(suffix)]) if whole else inside.tokenize(token))]
+
+    return [t for t in spec["vocab"] if t not in special and built(t) != [t]]

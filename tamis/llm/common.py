@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: a Python worker holds one batch of whole texts at a time.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch: a Python worker holds one batch of whole texts at a time (one text more where it alone is larger).
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,24 +31,32 @@ def id_remainder(name: str, mod: int) -> Column:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch to ``rows``, so that long texts don't fill a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Lower the session's Arrow batches to ``rows`` rows and ``BATCH_BYTES`` bytes, so that long texts don't fill a worker."""
+    for key, most, usual in (("maxRecordsPerBatch", rows, 10_000), ("maxBytesPerBatch", BATCH_BYTES, 1 << 28)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name, str(usual)))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="tamis-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="tamis-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def _forget(spark: SparkSession, path: str) -> None:

@@ -1,18 +1,19 @@
 """Lexical retrieval packing.
 
-Documents become token ids once, written to the shared folder. Document
-frequencies of all terms and the mean length are counted over all documents
-(their number is bounded by the vocabulary). Before documents are dealt to shards,
-those that are lexically near are brought together over the whole corpus: a tree
-of principal directions, learnt from a bounded sample of BM25 vectors, gives each
-document a place, and the corpus is range-partitioned and sorted by it. Then each
-task cuts its rows into shards of about ``SHARD`` tokens, builds a BM25 inverted
-index over a shard and packs it: a seed document opens a window, its best unused neighbours fill it,
-the first that doesn't fit is cut and its rest seeds the next window. A shard's
-last window is cut to powers of two, so nothing is padded.
-
-Ids are stored as 32-bit integers; the plan shuffles them once. A neighbour on the
-other side of a shard's border is not found; the README has the measured recall.
+Documents become token ids once, written to the shared folder in the narrowest
+integer type; the same pass counts in how many documents each term is, and puts a
+bounded sample of documents aside. Before documents are dealt to shards, those that
+are lexically near are brought together over the whole corpus: a tree of principal
+directions, learnt from BM25 vectors of the sample, gives each document a place,
+and the corpus is dealt to tasks by place, in ranges of about as many tokens each.
+Then each task cuts its rows into shards of about ``SHARD`` tokens, builds a BM25
+inverted index over a shard and packs it: a seed document opens a window, its best
+unused neighbours by all its terms fill it, the first that doesn't fit is cut and
+its rest seeds the next window. A shard's last window is cut to powers of two, so
+nothing is padded.
+
+The plan shuffles the ids once. A neighbour on the other side of a shard's border
+is not found; the README has the measured recall.
 """
 
 from __future__ import annotations
@@ -26,16 +27,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bounded_batches, forget, materialise
-from tamis.llm.tokenize import encode_texts
+from tamis.llm.bpe import encoder
+from tamis.llm.common import bounded_batches, materialise, text_of
 
-WINDOW, SHARD = 4096, 1 << 20
-#: BM25 parameters, and the terms of a seed that make up its query: those that weigh most in it.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
+WINDOW, SHARD = 4096, 1 << 21
+#: BM25 parameters.
+K1, B = 1.2, 0.75
+#: A term in more than this part of a shard's documents has its list in a matrix; documents up to which all pairs are multiplied (either way the same scores).
+OFTEN, PAIRED = 6, 2048
 #: Order of near documents: dimensions of a vector, documents the tree is learnt from (about), sampled ones in a leaf.
 DIMENSIONS, SAMPLE, LEAF = 64, 20_000, 4
-#: Shards of a task, on average.
-TASK_SHARDS = 2
+#: Shards of a task, on average, and sampled documents of a task at least (so that ranges are even).
+TASK_SHARDS, TASK_SAMPLE = 2, 10
+#: Fixed value: an odd multiplier that scatters row numbers.
+SCATTER = 0x9E3779B97F4A7C15
 
 
 def _principal(x: np.ndarray) -> np.ndarray:
@@ -107,27 +112,48 @@ class ShardIndex:
 
     def __init__(self, ids: list[np.ndarray], frequency: np.ndarray, documents: int, mean_length: float) -> None:
         lengths = np.array([len(x) for x in ids], np.int64)
-        pair, count = np.unique(np.repeat(np.arange(len(ids), dtype=np.int64), lengths) << 32 | np.concatenate(ids).astype(np.int64), return_counts=True)
-        doc, term = (pair >> 32).astype(np.int64), pair & 0xFFFFFFFF
+        flat = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        pair, count = np.unique(np.repeat(np.arange(len(ids), dtype=np.int64), lengths) << 32 | flat, return_counts=True)
+        doc, term = pair >> 32, pair & 0xFFFFFFFF
         df = frequency[np.minimum(term, len(frequency) - 1)]
         idf = np.log1p((documents - df + 0.5) / (df + 0.5))
         weight = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[doc] / max(mean_length, 1.0)))
         self.n = len(ids)
         self.own = np.searchsorted(doc, np.arange(self.n + 1))  # a document's terms
-        self.terms, self.weights = term, weight
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.min_scalar_type(int(term.max()) if len(term) else 0)), kind="stable")  # short integers sort by digits
         self.post_doc, self.post_weight = doc[order], weight[order]
-        starts = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0]) if len(order) else np.zeros(0, np.int64)
-        self.vocabulary, self.starts = term[order][starts], np.r_[starts, len(order)]
+        new = np.r_[True, np.diff(term[order]) > 0] if len(order) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        self.term = np.empty(len(order), np.int64)  # by document and term, the place of the term's list
+        self.term[order] = np.cumsum(new) - 1
+        self.starts, self.sizes = starts, np.diff(np.r_[starts, len(order)])
+        # Lists of much of the shard lie side by side in a matrix; where the shard has few documents, all their pairs are one product.
+        often = self.sizes * OFTEN > self.n
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        mine = self.column[self.term] >= 0
+        held, own = self.column[self.term[mine]], doc[mine]
+        self.dense = np.zeros((int(often.sum()), self.n), np.float32)
+        self.dense[held, own] = weight[mine]
+        self.pairs: np.ndarray | None = None
+        if self.n <= PAIRED:
+            has = np.zeros((self.n, len(self.dense)), np.float32)
+            has[own, held] = 1
+            self.pairs = has @ self.dense
+
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 of every document for all the terms of ``doc``: frequent lists from the matrix, the others added up at once."""
+        terms = self.term[self.own[doc] : self.own[doc + 1]]
+        column = self.column[terms]
+        rare = terms[column < 0]
+        sizes = self.sizes[rare]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[rare] - ends + sizes, sizes)
+        out = np.bincount(self.post_doc[places], self.post_weight[places], self.n)
+        return out + (self.pairs[doc] if self.pairs is not None else self.dense[column[column >= 0]].sum(0))
 
     def neighbours(self, doc: int) -> np.ndarray:
         """Documents that share terms with ``doc``, best first (ties: the earlier)."""
-        lo, hi = self.own[doc], self.own[doc + 1]
-        take = np.arange(lo, hi) if hi - lo <= QUERY_TERMS else lo + np.argpartition(-self.weights[lo:hi], QUERY_TERMS)[:QUERY_TERMS]
-        scores = np.zeros(self.n)
-        for k in np.searchsorted(self.vocabulary, self.terms[take]):
-            s, e = self.starts[k], self.starts[k + 1]
-            scores[self.post_doc[s:e]] += self.post_weight[s:e]  # a document is at most once in a list
+        scores = self.scores(doc)
         found = np.flatnonzero(scores > 0)
         return found[np.argsort(-scores[found], kind="stable")]
 
@@ -195,32 +221,79 @@ def _tail(pieces: list[tuple[int, int, int, int, int]], sequence: int, length: i
     return pieces
 
 
-def in_lexical_order(tokens: DataFrame, frequency: np.ndarray, documents: int, length: int, shard: int) -> DataFrame:
-    """(doc_id, ids) of all documents, with near ones in the same partition and side by side."""
-    spark = tokens.sparkSession
-    empty = spark.sparkContext.broadcast(LexicalOrder(frequency, documents, length / max(documents, 1)))
+TOKENS = "doc_id long, ids binary, sample binary, terms array<long>, counts array<long>"
+
+
+def tokens_and_counts(df: DataFrame, path: str, part: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, ids, sample, terms, counts): a row a document, with its ids again in ``sample`` for a share ``part`` of
+    them, and a last row a task: in how many of its documents each term is, the documents under -1, their tokens under -2.
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    What is sampled hangs on id and place in the task, so equal rows are not all taken or all left.
+    """
+    rows = df.select(df[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    limit = int(part * (1 << 32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, context = encoder(path), TaskContext.get()
+        total, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        task, length, seen = context.partitionId() if context else 0, 0, 0
+        names = ["doc_id", "ids", "sample", "terms", "counts"]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for b in batches:
-            x = empty.value.vectors([np.frombuffer(t.as_py(), "<u4") for t in b.column(0)])
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary())], ["vector"])
+            out, sample = [], []
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = enc.encode(t.as_py())
+                ids = np.frombuffer(raw, enc.dtype)
+                length, seen = length + len(ids) + 1, seen + 1
+                if len(ids):
+                    if (top := int(ids.max())) >= len(total):
+                        total, last = (np.pad(x, (0, top + 1)) for x in (total, last))
+                    place = np.arange(len(ids))
+                    last[ids] = place  # a term's last place in the document
+                    total[ids[last[ids] == place]] += 1
+                out.append(raw)
+                sample.append(raw if zlib.crc32(f"{doc} {task} {seen}".encode()) < limit else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(sample, pa.binary()), *(pa.nulls(len(out), k) for k in kinds[3:])], names)
+        terms = np.flatnonzero(total)
+        figures = ([None], [None], [None], [np.r_[terms, -1, -2]], [np.r_[total[terms], seen, length]])
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(figures, kinds, strict=True)], names)
+
+    return materialise(rows.mapInArrow(run, TOKENS))
+
 
-    part = min(1.0, SAMPLE / max(documents, 1))
-    sampled = tokens.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < int(part * (1 << 30))).select("ids").mapInArrow(vectors, "vector binary")
-    rows = sorted(r["vector"] for r in sampled.collect())  # about SAMPLE vectors at most
-    order = LexicalOrder(frequency, documents, length / max(documents, 1)).fit(np.frombuffer(b"".join(rows), np.float32).reshape(-1, DIMENSIONS))
-    fitted = spark.sparkContext.broadcast(order)
+def _ranges(places: np.ndarray, lengths: np.ndarray, tasks: int) -> np.ndarray:
+    """Places that cut a sample into ``tasks`` parts of about as many tokens."""
+    order = np.argsort(places, kind="stable")
+    held = np.cumsum(lengths[order] + 1.0)
+    at = np.searchsorted(held, held[-1] * np.arange(1, tasks) / tasks) if len(held) else np.zeros(0, np.int64)
+    return places[order][np.minimum(at, len(held) - 1)] if len(held) else np.zeros(0, np.int64)
+
+
+def in_lexical_order(tokens: DataFrame, frequency: np.ndarray, documents: int, length: int, shard: int, dtype: str) -> DataFrame:
+    """(doc_id, ids) of all documents, with near ones in the same partition and side by side."""
+    spark = tokens.sparkSession
+    rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["sample"])) for r in tokens.where("sample is not null").select("doc_id", "sample").collect())  # about SAMPLE documents
+    sample = [np.frombuffer(r[2], dtype) for r in rows]
+    order = LexicalOrder(frequency, documents, length / max(documents, 1))
+    order.fit(order.vectors(sample))
+    tasks = max(1, min(-(-length // (TASK_SHARDS * shard)), len(sample) // TASK_SAMPLE))
+    cuts = _ranges(order.places(order.vectors(sample)), np.array([len(x) for x in sample], np.int64), tasks)
+    fitted = spark.sparkContext.broadcast((order, cuts))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, borders = fitted.value
+        seen = 0
         for b in batches:
-            x = fitted.value.vectors([np.frombuffer(t.as_py(), "<u4") for t in b.column(1)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fitted.value.places(x))], ["doc_id", "ids", "place"])
+            at = model.places(model.vectors([np.frombuffer(t.as_py(), dtype) for t in b.column(1)]))
+            low, high = np.searchsorted(borders, at, "left"), np.searchsorted(borders, at, "right")
+            # Documents at a border, as the copies of one are, are dealt to all tasks that meet there.
+            row = np.arange(seen, seen + len(at), dtype=np.uint64) * np.uint64(SCATTER) >> np.uint64(33)
+            seen += len(at)
+            task = low + (row % (high - low + 1).astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at), pa.array(task.astype(np.int32))], ["doc_id", "ids", "place", "task"])
 
-    placed = materialise(tokens.mapInArrow(place, "doc_id long, ids binary, place long"))  # the exchange samples its input first
-    forget(tokens)
-    tasks = max(1, -(-length // (TASK_SHARDS * shard)))
-    by = [F.col("place"), F.xxhash64("doc_id"), F.col("doc_id")]  # copies of a document can go to several tasks
-    return placed.repartitionByRange(tasks, *by).sortWithinPartitions(*by).select("doc_id", "ids")
+    placed = tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(place, "doc_id long, ids binary, place long, task int")
+    return placed.repartitionById(tasks, F.col("task")).sortWithinPartitions("place", "doc_id").select("doc_id", "ids")
 
 
 def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
@@ -232,31 +305,15 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    tokens = materialise(encode_texts(df, path, id_col, text_col))
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, last, length, rows = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
-        for b in batches:
-            for t in b.column(0):
-                ids = np.frombuffer(t.as_py(), "<u4")
-                length, rows = length + len(ids) + 1, rows + 1
-                if len(ids):
-                    if (top := int(ids.max())) >= len(total):
-                        total, last = (np.pad(x, (0, top + 1)) for x in (total, last))
-                    place = np.arange(len(ids))
-                    last[ids] = place  # a term's last place in the document
-                    total[ids[last[ids] == place]] += 1
-        terms = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[terms, -1, -2]), pa.array(np.r_[total[terms], rows, length])], ["term", "n"])
-
-    counts = tokens.select("ids").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    tokens = tokens_and_counts(df, path, min(1.0, SAMPLE / max(df.select(F.lit(1)).count(), 1)), id_col, text_col)
+    pairs = tokens.where("terms is not null").select(F.explode(F.arrays_zip("terms", "counts")).alias("p"))
+    counts = pairs.groupBy(F.col("p.terms").alias("term")).agg(F.sum("p.counts").alias("n")).collect()  # at most the vocabulary
     of = {r["term"]: r["n"] for r in counts}
     documents, length = of.pop(-1, 0), of.pop(-2, 0)
     frequency = np.zeros(max([end_id, *of]) + 1, np.int64)
     frequency[list(of)] = list(of.values())
-    frequency[end_id] = documents
-    held = spark.sparkContext.broadcast(frequency)
-    ordered = in_lexical_order(tokens, frequency, documents, length, shard)
+    held, dtype = spark.sparkContext.broadcast(frequency), encoder(path).dtype
+    ordered = in_lexical_order(tokens, frequency, documents, length, shard, dtype)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +321,11 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
         sequence = (context.partitionId() if context else 0) << 36
 
         def flush(docs: list, ids: list[np.ndarray]) -> tuple[pa.RecordBatch, int]:
-            lengths = np.array([len(x) for x in ids], np.int64)
+            lengths = np.array([len(x) + 1 for x in ids], np.int64)
             rows = pack_shard(lengths, ShardIndex(ids, held.value, documents, length / max(documents, 1)), window)
             doc, start, size, seq, offset = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-            sums = [zlib.crc32(ids[d][s : s + n]) for d, s, n in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
+            whole = [np.r_[x, np.array([end_id], x.dtype)].astype("<u4") for x in ids]
+            sums = [zlib.crc32(whole[d][s : s + n]) for d, s, n in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
             names = pa.array(docs, pa.int64()).take(pa.array(doc))
             out = [names, *(pa.array(c, pa.int64()) for c in (start, size, sums, lengths[doc], sequence + seq, offset))]
             return pa.RecordBatch.from_arrays(out, columns), int(seq.max()) + 1
@@ -275,10 +333,9 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
         docs, ids, held_tokens = [], [], 0
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = np.r_[np.frombuffer(t.as_py(), "<u4"), np.uint32(end_id)].astype("<u4")
                 docs.append(d)
-                ids.append(own)
-                held_tokens += len(own)
+                ids.append(np.frombuffer(t.as_py(), dtype))
+                held_tokens += len(ids[-1]) + 1
                 if held_tokens >= shard:
                     out, n = flush(docs, ids)
                     yield out

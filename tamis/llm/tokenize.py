@@ -13,20 +13,6 @@ from tamis.llm.bpe import encoder
 from tamis.llm.common import bounded_batches, text_of
 
 
-def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers; null text counts as empty."""
-    bounded_batches(df.sparkSession)
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for b in batches:
-            ids = pa.array([enc.encode(t.as_py()) for t in b.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
-
-    return rows.mapInArrow(run, "doc_id long, ids binary")
-
-
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode each text: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -45,7 +31,7 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
         for b in batches:
             counts, sums, decoded = [], [], []
             for t in b.column(1):
-                ids = np.frombuffer(enc.encode(t.as_py()), "<u4").tolist()
+                ids = np.frombuffer(enc.encode(t.as_py()), enc.dtype).tolist()
                 counts.append(len(ids))
                 sums.append(hashlib.sha256(",".join(map(shown.__getitem__, ids)).encode()).hexdigest())
                 text = b"".join(map(spelt.__getitem__, ids)).decode("utf-8", "replace")
