@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.config import MARKERS, UNKNOWN_LABEL
+from tamis.functions.arrays import count_before
 from tamis.functions.text import marker_label
 from tamis.operators.extract import find_all
 
@@ -34,8 +35,7 @@ def attributed(df: DataFrame) -> DataFrame:
 
     def labelled(markers: Column) -> Column:
         def label(i: Column) -> Column:
-            before = F.filter(markers, lambda m: m["start"] <= i["start"])
-            return F.coalesce(F.try_element_at(before, F.lit(-1))["label"], F.lit(UNKNOWN_LABEL))
+            return F.coalesce(F.get(markers, count_before(markers, i["start"] + 1) - 1)["label"], F.lit(UNKNOWN_LABEL))
 
         return F.transform("indicators", lambda i: F.struct(*[i[f].alias(f) for f in fields], label(i).alias("source_label")))
 

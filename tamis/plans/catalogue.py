@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +14,12 @@ from tamis.functions import text as fn
 from tamis.operators import attribute, dedup
 from tamis.operators.aggregate import INDEX_SCHEMA, Aggregated, aggregate
 from tamis.operators.artifacts import filled
-from tamis.operators.extract import exploded, extract, find_all, with_indicators
+from tamis.operators.extract import exploded, extract, find_all, placed_rows, with_indicators
 from tamis.plans import diagnostics, feed
 from tamis.plans.extraction import featured, indicators, retained
 from tamis.sources import csvio, documents, ledger
-from tamis.sources.tables import materialise, shared_folder, spread
+from tamis.sources.tables import materialise, scratch, spread
+from tamis.streaming.files import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = Config()
@@ -38,12 +38,12 @@ def refang_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _refanged(spark, sf_dir).select("doc_id", F.explode(find_all(F.col("refanged"), PATTERNS[kind])).alias("m"))
+    rows = placed_rows(_refanged(spark, sf_dir), find_all(F.col("refanged"), PATTERNS[kind]), "m", "doc_id")
     return rows.groupBy("doc_id", F.col("m.value").alias("value")).agg(F.count("*").alias("n"), F.min("m.start").cast("long").alias("first_pos"))
 
 
 def document_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(find_all(F.coalesce("text", F.lit("")), PATTERNS["IPV4"])).alias("m"))
+    docs = placed_rows(_table(spark, sf_dir, "documents"), find_all(F.coalesce("text", F.lit("")), PATTERNS["IPV4"]), "m", "doc_id")
     return docs.groupBy(F.col("m.value").alias("value")).agg(F.count("*").alias("n"))
 
 
@@ -76,7 +76,7 @@ def attributed_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(feed.feed(spark, sf_dir), CONFIG)
     rows = exploded(found, "doc_id").select("doc_id", "start", "type", "value")
-    marks = found.select("doc_id", F.explode("markers").alias("m")).select("doc_id", "m.*")
+    marks = placed_rows(found, "markers", "m", "doc_id").select("doc_id", "m.*")
     return attribute.asof_labels(rows, marks).select("doc_id", F.col("start").cast("long").alias("pos"), "type", "value", "source_label")
 
 
@@ -119,7 +119,7 @@ def lookup_max_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _filled(spark: SparkSession, sf_dir: str, name: str, *keep: str) -> DataFrame:
     tops = {r["artifact"]: r["max_id"] for r in lookup_max_id(spark, sf_dir).collect()}  # a row a list
-    return filled(featured(_retained(spark, sf_dir), CONFIG), CONFIG.artifact(name), tops, keep=keep)
+    return filled(featured(materialise(_retained(spark, sf_dir)), CONFIG), CONFIG.artifact(name), tops, keep=keep)
 
 
 def artifact(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ def artifact(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamis.operators.artifacts import routed
 
-    rows = featured(_retained(spark, sf_dir), CONFIG)
+    rows = featured(materialise(_retained(spark, sf_dir)), CONFIG)
     out = None
     for a in ARTIFACTS:
         one = routed(rows, a).agg(F.count("*").alias("n")).select(F.lit(a.name).alias("artifact"), "n")
@@ -143,9 +143,9 @@ def csv_lines_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
+    rows, out = featured(materialise(_retained(spark, sf_dir)), CONFIG), None
     for m in MERGES:
-        one = _filled(spark, sf_dir, m.name).select(F.lit(m.name).alias("artifact"), fn.row_key(m.key_columns, m.key_mode).alias("row_key"))
+        one = filled(rows, CONFIG.artifact(m.name)).select(F.lit(m.name).alias("artifact"), fn.row_key(m.key_columns, m.key_mode).alias("row_key"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("artifact", "row_key").agg(F.count("*").alias("n"))
 
@@ -156,7 +156,7 @@ def _aggregated(spark: SparkSession, sf_dir: str) -> Aggregated:
     for m in MERGES:
         a = CONFIG.artifact(m.name)
         columns = [c.name for c in a.columns]
-        own = materialise(filled(rows, a, keep=("doc_id", "ordinal")))
+        own = filled(rows, a, keep=("doc_id", "ordinal"))
         canonical[m.name] = own.where("doc_id % 10 = 0" if m.name == "masks" else "false").select(*columns, "__row")
         order = (F.col("doc_id") * 100_000 + F.col("ordinal")).cast("long").alias("ordinal")
         arrived[m.name] = own.select("doc_id", *columns, order).join(feed.sources(spark, sf_dir), "doc_id").drop("doc_id")
@@ -218,16 +218,12 @@ def html_text_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_ingest_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed documents as files, through the streaming source to a partitioned table."""
-    from tamis.streaming.files import ingest_stream
-
-    base = f"{shared_folder(spark)}/stream-{os.path.basename(tempfile.mktemp())}"
-    inbox = f"{base}/inbox"
-    feed.feed(spark, sf_dir).select(F.col("text").alias("value")).repartition(8).write.option("lineSep", "\n").text(inbox)
-    from dataclasses import replace
-
-    config = replace(CONFIG, ingestion=replace(CONFIG.ingestion, include=("*.txt",)))
-    ingest_stream(spark, inbox, f"{base}/table", f"{base}/checkpoint", config).trigger(availableNow=True).start().awaitTermination()
+    """Feed documents in eight files, through the streaming source to a partitioned table."""
+    base = scratch(spark)
+    rows = feed.feed(spark, sf_dir).select(F.col("text").alias("value"), (F.col("doc_id") % 8).alias("file"))
+    rows.repartition("file").write.partitionBy("file").option("lineSep", "\n").text(f"{base}/inbox")
+    config = replace(CONFIG, ingestion=replace(CONFIG.ingestion, include=("*.txt",), quiet_seconds=0))
+    ingest_stream(spark, f"{base}/inbox/*", f"{base}/table", f"{base}/checkpoint", config).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/table").groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -384,6 +380,7 @@ ORACLES: dict[str, str] = {
     "aggregate_masks": f"{_arrivals_sql()}, m AS (SELECT doc_id, ordinal, url_match, {_LOWER_HOST.format(v='value')} AS mask FROM feat WHERE {_ROUTES['masks']}) SELECT mask, count(*) AS n, max(url_match) AS url_match FROM (SELECT m.mask, m.url_match FROM m WHERE doc_id % 10 = 0 UNION ALL SELECT m.mask, m.url_match FROM m JOIN fresh f ON f.artifact = 'masks' AND f.doc_id = m.doc_id AND f.ordinal = m.ordinal) GROUP BY mask",
     "stable_ids": f"{_arrivals_sql()} SELECT artifact, key, row_number() OVER (ORDER BY rank, detected_at NULLS LAST, source_key, doc_id, ordinal) AS id FROM fresh",
     "aggregation_counters": f"{_arrivals_sql()} SELECT artifact, count(*) AS rows_read, (SELECT count(*) FROM canon c WHERE c.artifact = arr.artifact) + (SELECT count(*) FROM fresh f WHERE f.artifact = arr.artifact) AS rows_written, (SELECT count(*) FROM fresh f WHERE f.artifact = arr.artifact) AS new_ids, count(key) - (SELECT count(*) FROM fresh f WHERE f.artifact = arr.artifact) AS unchanged, count(*) - count(key) AS skipped FROM arr GROUP BY artifact",
+    "stream_ingest_partitions": f"WITH {_SPANS} SELECT type, count(*) AS n FROM (SELECT DISTINCT doc_id % 8, type, value FROM ind) GROUP BY type",
     "content_hash_dedup": "SELECT sha256(coalesce(text, '')) AS source_key, min(doc_id) AS doc_id, count(*) AS deliveries FROM documents GROUP BY 1",
     "ledger_ready": f"SELECT key, status FROM ({_LEDGER}) WHERE status = 'SOURCE_ARCHIVED' AND written <> 0",
     "ledger_incomplete": f"SELECT key, status FROM ({_LEDGER}) WHERE status NOT IN ('SOURCE_ARCHIVED', 'AGGREGATED', 'FAILED')",

@@ -59,7 +59,7 @@ class _Text(html.parser.HTMLParser):
 
 
 def decode(content: bytes, charset: str) -> str:
-    """By byte-order mark, declared character set, UTF-8 if it is that, else ``charset``."""
+    """By byte-order mark, character set declared at the top (where pages must have it), UTF-8 if it is that, else ``charset``."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if content.startswith(mark):
             return content.decode(name, "replace")
@@ -135,7 +135,7 @@ def text_of(path: str, content: bytes, charset: str = "windows-1251") -> str:
     if content.startswith(b"%PDF-"):
         raise UnsupportedFormat(f"{path}: PDF needs a library that is not there")
     text = decode(content, charset)
-    if name.endswith((".htm", ".html", ".xhtml")) or re.match(r"\s*(?:<!doctype html|<html|<\?xml[^>]*>\s*<html)", text[:1024], re.I):
+    if name.endswith((".htm", ".html", ".xhtml")) or re.match(r"\s*(?:<!doctype html|<html|<\?xml[^>]*>\s*<html)", text, re.I):
         return html_text(text)
     return text
 
@@ -161,7 +161,7 @@ def texts(files: DataFrame, charset: str = "windows-1251") -> DataFrame:
                     wrong.append(None)
                 except Exception as e:  # noqa: BLE001 - the reason is reported in the row
                     found.append(None)
-                    wrong.append(f"{type(e).__name__}: {e}"[:500])
+                    wrong.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(1), b.column(2), pa.array(found, pa.string()), pa.array(wrong, pa.string())], ["doc_id", "path", "source_key", "modified", "text", "error"])
 
     return rows.mapInArrow(run, "doc_id string, path string, source_key string, modified timestamp, text string, error string")

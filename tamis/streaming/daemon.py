@@ -154,7 +154,7 @@ class Daemon:
         out = [self.recover(r) for r in self.ledger.incomplete()]
         for unit in self.life.processing():
             if self.ledger.find(unit.key) is None:
-                reason = "orphan processing source without ledger record"
+                reason = "left in processing, and the ledger does not know it"
                 self.life.fail(unit.path, unit.key, reason)
                 self.ledger.mark(unit.key, led.FAILED, reason=reason)
                 out.append(Outcome(unit.key, led.FAILED))
@@ -231,7 +231,7 @@ class Daemon:
         rows = self.spark.read.options(**options).schema(", ".join(f"`{c}` string" for c in columns)).csv(paths)
         name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
         own = rows.withColumn("source_key", name).withColumn("ordinal", F.monotonically_increasing_id())
-        return own.join(F.broadcast(sources.select("source_key", "detected_at").distinct()), "source_key").select(*columns, "detected_at", "source_key", "ordinal")  # a row a source of this run
+        return own.join(sources.select("source_key", "detected_at").distinct(), "source_key").select(*columns, "detected_at", "source_key", "ordinal")
 
     def _index(self, path: str) -> DataFrame:
         rows = csvio.read(self.spark, path, ["artifact", "key", "id", "created_at", "updated_at"], self.config.csv)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tamis.config import PATTERNS, PRIORITY, Config
+from tamis.functions.arrays import count_before, sums_before
 from tamis.operators.dedup import first_in_row, first_in_source, not_listed
 from tamis.operators.extract import exploded, with_indicators
 from tamis.plans.extraction import indicators
@@ -55,6 +57,32 @@ def test_edge_cases(spark):
     assert got[6] == [("URL", "https://evil.com/x"), ("DOMAIN", "evil.com")]
 
 
+def test_very_many_matches_in_one_text(spark):
+    rng = random.Random(5)
+    words = ["a.com", "http://b.org/x", "1.2.3.4", "c" * 32, "http://sub.d.net", "БИБ-1", "none"]
+    text = " ".join(rng.choice(words) for _ in range(120_000))
+    began = time.monotonic()
+    rows = indicators(spark.createDataFrame([(1, text)], "doc_id long, text string"), Config(), "doc_id").orderBy("start").collect()
+    assert time.monotonic() - began < 60
+    assert len(rows) > 80_000 and [(r["start"], r["type"], r["value"]) for r in rows] == model(text)
+    label, at = [], 0
+    marks = [m.start() for m in re.finditer("БИБ-1", text)]
+    for r in rows:
+        while at < len(marks) and marks[at] <= r["start"]:
+            at += 1
+        label.append("БИБ-1" if at else "UNKNOWN")
+    assert [r["source_label"] for r in rows] == label
+
+
+def test_sums_and_places(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        values = list(range(n))
+        df = spark.createDataFrame([(values, [(v * 2,) for v in values])], "v array<int>, s array<struct<start:int>>")
+        r = df.select(sums_before(F.col("v")).alias("sums"), *[count_before(F.col("s"), F.lit(x)).alias(f"c{x + 1}") for x in (-1, 0, 7, 10_000)]).first()
+        assert r["sums"] == [sum(values[:i]) for i in range(n)]
+        assert [r[f"c{x + 1}"] for x in (-1, 0, 7, 10_000)] == [sum(v * 2 < x for v in values) for x in (-1, 0, 7, 10_000)]
+
+
 def test_null_text_has_no_indicators(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert indicators(df, Config(), "doc_id").count() == 0
