@@ -16,23 +16,33 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def sums_before(values: Column) -> Column:
-    """For each of the ints the sum of those before it."""
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of the ints what ``combine``, which is associative and has 0 as a start, makes of those before it."""
 
     def block(part: Column) -> Column:
-        empty = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
-        return F.aggregate(part, empty, lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before")))
+        empty = F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(part, empty, lambda s, v: F.struct(combine(s["all"], v).alias("all"), F.concat(s["before"], F.array(s["all"])).alias("before")))
 
     def joined(v: Column) -> Column:
         last = F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / BLOCK).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), last), lambda k: block(F.slice(v, k * BLOCK + 1, F.lit(BLOCK))))
-        empty = F.struct(F.lit(0).alias("sum"), F.array().cast("array<array<int>>").alias("out"))
-        shifted = F.aggregate(blocks, empty, lambda s, b: F.struct((s["sum"] + b["sum"]).alias("sum"), F.concat(s["out"], F.array(F.transform(b["before"], lambda x: x + s["sum"]))).alias("out")))
+        empty = F.struct(F.lit(0).alias("all"), F.array().cast("array<array<int>>").alias("out"))
+        shifted = F.aggregate(blocks, empty, lambda s, b: F.struct(combine(s["all"], b["all"]).alias("all"), F.concat(s["out"], F.array(F.transform(b["before"], lambda x: combine(s["all"], x)))).alias("out")))
         return F.flatten(shifted["out"])
 
     return once(values, joined)
 
 
+def sums_before(values: Column) -> Column:
+    """For each of the ints the sum of those before it."""
+    return running(values, lambda a, b: a + b)
+
+
+def largest_before(values: Column) -> Column:
+    """For each of the ints, none below 0, the largest of those before it; 0 for the first."""
+    return running(values, F.greatest)
+
+
 def count_before(spans: Column, place: Column, field: str = "start") -> Column:
     """How many of ``spans``, which are ordered by ``field``, have it below ``place``: a binary search.
 
