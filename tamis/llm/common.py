@@ -11,6 +11,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is hot if it has more rows than this and than the given part of a partition's even share.
+LEAST_HOT, HOT_SHARE = 500, 0.25
 #: Rows and bytes in an Arrow batch: a Python worker holds one batch of whole texts at a time (one text more where it alone is larger).
 BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
@@ -86,3 +88,23 @@ def forget(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/tamis-" in path:
             _forget(df.sparkSession, path)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, in which ``key`` is unique, where few keys may hold much of ``left``.
+
+    Keys with more than a part of a partition's even share of the ``total`` rows of ``left`` are found by a
+    pre-aggregated count. There can be partitions / HOT_SHARE of them at most, so their rows of ``right`` are
+    broadcast and those of ``left`` stay where they are; the rest is shuffled. Null keys find nothing.
+    """
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = max(LEAST_HOT, int(HOT_SHARE * total / parts))
+    if total <= least:
+        return left.join(right, key, how)
+    found = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > least).select(key).collect()
+    if not found:
+        return left.join(right, key, how)
+    hot = F.broadcast(spark.createDataFrame(found, left.select(key).schema))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_semi").join(few, key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))

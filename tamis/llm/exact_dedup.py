@@ -32,17 +32,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``df``: id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, whole_rows: bool = False) -> DataFrame:
+    """Per row of ``df``: id, keep_id, group_size, kept, text_sha256; with ``whole_rows`` also the row, as the struct __row.
 
     Equal means identical after lower-casing A-Z; the largest id stays.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text")).select(
-        "doc_id", "__text",
-        ascii_lower(F.substring("__text", 1, PREFIX)).alias("__prefix"),
-        F.octet_length("__text").alias("__bytes"),
+    carried = "__row" if whole_rows else "__text"
+    text = text_of("__row." + text_col) if whole_rows else F.col("__text")
+    rows = df.select(F.col(id_col).alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row") if whole_rows else text_of(text_col).alias("__text"))
+    keyed = rows.select(
+        "doc_id", carried,
+        ascii_lower(F.substring(text, 1, PREFIX)).alias("__prefix"),
+        F.octet_length(text).alias("__bytes"),
     )
 
     counts = keyed.groupBy("__prefix", "__bytes").agg(F.count("*").alias("__n"))
@@ -56,10 +59,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         .drop("__splits")
     )
 
-    def sorted_runs(rows: DataFrame) -> DataFrame:
+    def sorted_runs(rows: DataFrame, *more: str) -> DataFrame:
         """Neighbouring rows of a partition compared on the whole text; the first of a run is its head."""
         placed = rows.repartitionByRange(parts, "__prefix", "__bytes", "__salt")
-        full = placed.select("doc_id", "__prefix", "__bytes", "__salt", ascii_lower(F.col("__text")).alias("__norm"))
+        full = placed.select("doc_id", "__prefix", "__bytes", "__salt", ascii_lower(text).alias("__norm"), *more)
         run = Window.partitionBy("__prefix", "__bytes", "__salt", "__norm")
         ordered = run.orderBy(F.col("doc_id").desc_nulls_last())
         return full.select(
@@ -68,10 +71,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             F.first("doc_id").over(ordered).alias("__head"),
             F.count(F.lit(1)).over(run).alias("__size"),
             F.sha2(F.col("__norm").cast("binary"), 256).alias("text_sha256"),
-            "__norm",
+            "__norm", *more,
         )
 
-    runs = sorted_runs(salted)
+    runs = sorted_runs(salted, *(["__row"] if whole_rows else []))
     # Only heads of cut runs: at most twice parts / HEAVY_SHARE rows and one per other text in a heavy key.
     heads = sorted_runs(salted.where("__salt >= 0")).where("__place = 1")
     merged = (
@@ -86,11 +89,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         keep.alias("keep_id"),
         F.coalesce("__all", "__size").cast("long").alias("group_size"),
         (first & F.col("__head").eqNullSafe(keep)).alias("kept"),
-        "text_sha256",
-    )
+        "text_sha256", *(["__row"] if whole_rows else []),
+    )
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their columns. Rows with a null id stay, and so do all rows of an id of which one stays."""
-    gone = exact_dedup(df, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept and doc_id is not null")
-    return df.join(gone.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*df.columns)
+    """The rows of ``df`` that stay, one of each group, with their columns; they travel with the sort, so there is no join.
+
+    A null id loses to any other; of a group with null ids only, one row stays.
+    """
+    return exact_dedup(df, id_col, text_col, whole_rows=True).where("kept").select("__row.*")

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import bounded_batches, id_remainder, text_of
 
-#: Documents learnt from at most, n-grams kept of a language at most, how often one is seen at least.
-SAMPLE, GRAMS, LEAST = 8_000, 30_000, 3
-#: Length of n-grams, slots of the filter (a power of two), and hashes of an n-gram.
-LENGTH, SLOTS, HASHES = 4, 1 << 19, 3
+#: Documents of a language learnt from, about, at most; every n-gram of them goes into the filter.
+SAMPLE = 3_000
+#: Length of n-grams, hashes of an n-gram, and slots of the filter for each n-gram of the largest language (rounded up to a power of two).
+LENGTH, HASHES, ROOM = 4, 3, 12
+#: Bits of a mask.
+LANGUAGES = 64
 #: Odd multipliers.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -63,11 +65,11 @@ def grams(text: str) -> np.ndarray:
     return h
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    """(HASHES, n) slots of n-grams."""
+def slots(h: np.ndarray, size: int) -> np.ndarray:
+    """(HASHES, n) slots of n-grams in a filter of ``size``, a power of two."""
     step = (h >> np.uint64(32)) | np.uint64(1)
     with np.errstate(over="ignore"):
-        return np.stack([((h + np.uint64(k) * step) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)])
+        return np.stack([((h + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)])
 
 
 class MaskFilters:
@@ -75,21 +77,23 @@ class MaskFilters:
 
     def __init__(self, of: dict[str, np.ndarray]) -> None:
         self.langs = sorted(of)
-        if len(self.langs) > 64:
-            raise ValueError("a mask has 64 bits: learn from at most 64 languages")
-        self.masks = np.zeros(SLOTS, np.min_scalar_type((1 << max(1, len(self.langs))) - 1))
+        self.size = 1 << int(ROOM * max([1 << 10, *map(len, of.values())])).bit_length()
+        self.masks = np.zeros(self.size, np.min_scalar_type((1 << max(1, len(self.langs))) - 1))
         for bit, lang in enumerate(self.langs):
-            at = slots(of[lang]).ravel()
+            at = slots(of[lang], self.size).ravel()
             self.masks[at] |= self.masks.dtype.type(1 << bit)
-        fill = np.array([np.count_nonzero(self.masks >> self.masks.dtype.type(b) & self.masks.dtype.type(1)) for b in range(len(self.langs))]) / SLOTS
+        fill = np.array([np.count_nonzero(self.masks >> self.masks.dtype.type(b) & self.masks.dtype.type(1)) for b in range(len(self.langs))]) / self.size
         self.false = fill**HASHES
 
     def identify(self, text: str | None) -> tuple[str, float]:
-        """Language and its share of the corrected counts; ``und`` with score 0 for a text without letters."""
+        """Language and its share of the corrected counts; ``und`` with score 0 for a text without letters.
+
+        Of equal counts, and so of none at all, the first language by name.
+        """
         h = grams(text or "")
         if not len(h) or not self.langs:
             return "und", 0.0
-        at = slots(h)
+        at = slots(h, self.size)
         found = self.masks[at[0]]
         for k in range(1, HASHES):
             found = found & self.masks[at[k]]
@@ -101,25 +105,31 @@ class MaskFilters:
 
 
 def learn(docs: DataFrame, allowed: Column, limit: int = SAMPLE) -> MaskFilters:
-    """Filters from at most ``limit`` rows with a language, chosen by a hash of their id."""
-    bounded_batches(docs.sparkSession)
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(allowed).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    sample = docs.where("lang is not null").select("doc_id", text_of().alias("text"), "lang").join(F.broadcast(ids), "doc_id").select("text", "lang")
+    """Filters from about ``limit`` rows of each language (all, if it has fewer), chosen by a hash of their id.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two passes whatever the number of languages: one counts their rows, one gathers the n-grams.
+    Rows with null ids are not learnt from.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(allowed)
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"a mask has {LANGUAGES} bits: learn from at most {LANGUAGES} languages")
+    if not found:
+        return MaskFilters({})
+    share = F.create_map(*[F.lit(v) for r in found for v in (r["lang"], int(min(1.0, limit / r["n"]) * (1 << 30)))])
+    near = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")]).select("doc_id", text_of().alias("text"), "lang")
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column(1).to_pylist()
             for lang in sorted(set(langs)):
-                own = [grams(t.as_py()) for t, l in zip(b.column(0), langs, strict=True) if l == lang]
-                keys, n = np.unique(np.concatenate(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                keys = np.unique(np.concatenate([grams(t.as_py()) for t, l in zip(b.column(0), langs, strict=True) if l == lang]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64))], ["lang", "gram"])
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    of = {}
-    for lang in [r["lang"] for r in sample.select("lang").distinct().orderBy("lang").limit(65).collect()]:
-        rows = counts.where((F.col("lang") == lang) & (F.col("n") >= LEAST)).orderBy(F.col("n").desc(), "gram").limit(GRAMS).select("gram").toArrow()
-        of[lang] = rows["gram"].to_numpy().astype(np.int64).view(np.uint64)
-    return MaskFilters(of)
+    table = near.select("text", "lang").mapInArrow(known, "lang string, gram long").distinct().toArrow()  # n-grams of the sample
+    langs, keys = np.array(table["lang"].to_pylist()), table["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    return MaskFilters({r["lang"]: np.sort(keys[langs == r["lang"]]) for r in found})
 
 
 def held_out(name: str = "doc_id") -> Column:
@@ -130,11 +140,12 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs``.
 
     Defined cases: null, empty and letterless texts are ``und`` with score 0; so is
-    everything if nothing could be learnt; repeated rows a row each; null ids pass;
-    an empty table gives an empty result.
+    everything if nothing could be learnt; of languages with equal counts, as when no
+    n-gram is known, the first by name (with score 0 if all counts are 0); repeated
+    rows a row each; null ids pass; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    filters = docs.sparkSession.sparkContext.broadcast(learn(docs, ~held_out()))  # SLOTS masks
+    filters = docs.sparkSession.sparkContext.broadcast(learn(docs, ~held_out()))  # as large as the sample's n-grams
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,17 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bounded_batches, text_of
+from tamis.llm.common import bounded_batches, materialise, text_of
 
 #: Labelled rows that a classifier is fitted on at most (a documented bound; scoring covers every row).
 SAMPLE = 12_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit: int = SAMPLE) -> DataFrame:
-    """(text, label) of at most ``limit`` labelled rows, chosen by a hash of their id.
+    """(text, label, apart) of at most ``limit`` labelled rows, chosen by a hash of their id and written once.
 
-    ``allowed`` says by doc_id which rows may be learnt from. Null labels and ids are
-    left out; an id with several labels counts as positive if one of them is.
+    ``allowed`` says by doc_id which rows may be learnt from; ``apart`` is true for a quarter of the ids. Null
+    labels and ids are left out; an id with several labels counts as positive if one of them is, and an id with
+    several rows gives one, the one with the smallest text hash.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -28,25 +29,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "label")  # ids: at most ``limit``
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")  # ids: at most ``limit``
+    one = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return materialise(one.select("text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4)) == 0).alias("apart")))
 
 
-def matrix(sample: DataFrame, features: Callable[[str], list[float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample, in an order that does not depend on the partitions."""
+def matrix(sample: DataFrame, features: Callable[[str], list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and ``apart`` of a bounded sample, in an order that does not depend on the partitions."""
     bounded_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [features(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "label", "apart"])
 
-    rows = sample.select("text", "label").mapInArrow(run, "x array<double>, label int").toArrow()
+    rows = sample.select("text", "label", "apart").mapInArrow(run, "x array<double>, label int, apart boolean").toArrow()
     if not rows.num_rows:
-        return np.zeros((0, 0)), np.zeros(0)
+        return np.zeros((0, 0)), np.zeros(0), np.zeros(0, bool)
     x = np.array(rows["x"].combine_chunks().flatten()).reshape(rows.num_rows, -1)
-    y = rows["label"].to_numpy().astype(float)
-    order = np.lexsort((*x.T[::-1], y))
-    return x[order], y[order]
+    y, apart = rows["label"].to_numpy().astype(float), rows["apart"].to_numpy()
+    order = np.lexsort((*x.T[::-1], y, apart))
+    return x[order], y[order], apart[order]
 
 
 def scored(df: DataFrame, held_out: Column, score: Callable[[list[str]], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,18 +111,17 @@ class Boosted:
         value[inner:] = self.rate * gs / (hs + 1)
         self.trees.append((feature, cut, value))
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """Three quarters of the rows grow the trees, the rest calibrate them."""
+    def fit(self, x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> Boosted:
+        """Rows that are not ``apart`` grow the trees, the others calibrate them; all do both where one part lacks a label."""
         if not len(y) or y.min() == y.max():  # nothing to tell apart
             self.knots = (np.array([0.0]), np.array([float(y.mean()) if len(y) else 0.0]))
             return self
-        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        grow = ~apart
+        if len({*y[apart]}) < 2 or len({*y[grow]}) < 2:
+            apart = grow = np.ones(len(y), bool)
+        self.cuts = [np.unique(np.quantile(x[grow, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         self.bins = max(map(len, self.cuts)) + 1
-        apart = np.zeros(len(y), bool)
-        for label in (0, 1):
-            apart[np.flatnonzero(y == label)[::4]] = True
         b = self._binned(x)
-        grow = ~apart if 0 < y[~apart].sum() < (~apart).sum() else np.ones(len(y), bool)
         p = y[grow].mean()
         self.base = float(np.log(p / (1 - p)))
         margin = np.full(grow.sum(), self.base)
@@ -140,11 +142,12 @@ class Boosted:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots of a rising curve from margin to probability."""
-    order = np.argsort(margin, kind="stable")
+    """Pool adjacent violators: knots of a rising curve from margin to probability. Rows of equal margin are one point."""
+    points, of = np.unique(margin, return_inverse=True)
+    rows, hits = np.bincount(of, minlength=len(points)), np.bincount(of, y, len(points))
     blocks: list[list[float]] = []  # sum of labels, rows, sum of margins
-    for m, v in zip(margin[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1.0, m])
+    for m, n, v in zip(points.tolist(), rows.tolist(), hits.tolist(), strict=True):
+        blocks.append([v, n, m * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + c for a, c in zip(blocks[-1], last, strict=True)]

@@ -9,12 +9,15 @@ distance: shared passages parse into shared phrases.
 Neighbours in descending id order are found with one shuffle of the texts:
 splitters from quantiles of the ids cut them in ranges, the row at each splitter
 is also sent to the range above it, and a task walks through its sorted rows
-with one row of look-ahead.
+with one row of look-ahead. An id (or null) that holds much of the rows shows as a
+repeated quantile; then its equal texts become one row with a count, and its
+different texts are cut into ranges by their hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bounded_batches, text_of
+from tamis.llm.common import bounded_batches, materialise, text_of
 
-#: Hashes kept of a text, each of 32 bits.
-KEPT = 64
+#: Hashes kept of a text, each of 32 bits; rows of a batch of equal ones.
+KEPT, REPEATED = 64, 10_000
 #: Fixed value: an odd multiplier for the rolling hash modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -107,17 +110,24 @@ def shown(sig: np.ndarray) -> str:
     return sig.astype(">u4").tobytes().hex()
 
 
-def _range_of(key: Column, splitters: list[int]) -> Column:
-    """Number of splitters below ``key``, by binary search."""
+#: The ends of a long.
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def _range_of(key: Column, turned: Column, splitters: list[tuple[int, int]]) -> Column:
+    """Number of splitters below (key, turned), by binary search."""
     if not splitters:
         return F.lit(0)
-    held = F.array(*[F.lit(s).cast("long") for s in splitters])
-    low, high = F.lit(0), F.lit(len(splitters))
-    state = F.struct(low.alias("lo"), high.alias("hi"))
+    keys, hashes_ = _longs([k for k, _ in splitters]), _longs([h for _, h in splitters])
+    state = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"))
 
     def step(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.get(held, mid) < key
+        below = (F.get(keys, mid) < key) | (F.get(keys, mid) == key) & (F.get(hashes_, mid) < turned)
         open_ = s["lo"] < s["hi"]
         return F.struct(F.when(open_ & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"))
 
@@ -135,24 +145,37 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    lowest = -(1 << 63)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(lowest))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), key.alias("key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = [i / parts for i in range(1, parts)] or [0.5]
     cuts = rows.agg(F.percentile_approx("key", at, 100 * parts).alias("cuts"), F.max("key").alias("top")).first()
-    splitters = sorted({*(cuts["cuts"] or [])} - {cuts["top"]}) if parts > 1 else []
-    # Range r holds the keys above splitter r - 1 up to splitter r; the row at splitter r - 1 follows its last.
-    own = _range_of(F.col("key"), splitters)
-    also = F.when(F.col("key") == F.lit(cuts["top"]).cast("long"), F.lit(0))
-    if splitters:
-        here = F.get(F.array(*[F.lit(s).cast("long") for s in splitters]), F.col("own"))
-        above = F.when(F.col("key") == here, F.col("own") + 1)
-        targets = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("guest")), F.struct(above.alias("range"), F.lit(True).alias("guest")), F.struct(also.alias("range"), F.lit(True).alias("guest")))
+    times = Counter(cuts["cuts"] or []) if parts > 1 else Counter()
+    hot = sorted(k for k, n in times.items() if n > 1)  # ids with more rows than a range should have
+    # Rows in descending order of (key, turned); turned is the complement of the text's hash where ids are hot.
+    splitters = [(k, HIGHEST) for k in times if k != cuts["top"]]
+    if hot:
+        equal = rows.where(F.col("key").isin(hot)).groupBy("doc_id", "text", "key").agg(F.count("*").alias("n"))
+        others = rows.where(~F.col("key").isin(hot)).withColumn("n", F.lit(1).cast("long"))
+        rows = materialise(others.unionByName(equal).withColumn("turned", F.bitwise_not(F.xxhash64("text"))))
+        splitters += [(k, LOWEST + (1 << 64) * i // times[k]) for k in hot for i in range(1, times[k])]
     else:
-        targets = F.array(F.struct(F.lit(0).alias("range"), F.lit(False).alias("guest")), F.struct(also.alias("range"), F.lit(True).alias("guest")))
-    placed = rows.withColumn("own", own.cast("int")).withColumn("to", F.explode(F.filter(targets, lambda t: t["range"].isNotNull())))
-    placed = placed.select("doc_id", "text", "key", F.col("to.range").cast("int").alias("range"), F.col("to.guest").alias("guest"))
+        rows = rows.withColumn("n", F.lit(1).cast("long")).withColumn("turned", F.lit(HIGHEST))
+    splitters.sort()
+    # Range r holds what is above splitter r - 1 up to splitter r; its first row follows the last of the next range that has any.
+    ranged = rows.withColumn("own", _range_of(F.col("key"), F.col("turned"), splitters).cast("int"))
+    if hot:
+        tops = {r["own"]: (r["top"]["key"], r["top"]["turned"]) for r in ranged.groupBy("own").agg(F.max(F.struct("key", "turned")).alias("top")).collect()}
+    else:  # splitters are ids of rows
+        tops = dict(enumerate([*splitters, (cuts["top"], HIGHEST)])) if cuts["top"] is not None else {}
+    held = sorted(tops)
+    above = {r: held[(i + 1) % len(held)] for i, r in enumerate(held)}
+    every = range(len(splitters) + 1)
+    first = (F.col("key") == F.get(_longs([tops.get(r, (0, 0))[0] for r in every]), F.col("own"))) & (F.col("turned") == F.get(_longs([tops.get(r, (0, 0))[1] for r in every]), F.col("own")))
+    guest = F.when(first, F.get(F.array(*[F.lit(above.get(r, 0)) for r in every]), F.col("own")))
+    targets = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("guest")), F.struct(guest.alias("range"), F.lit(True).alias("guest")))
+    placed = ranged.withColumn("to", F.explode(F.filter(targets, lambda t: t["range"].isNotNull())))
+    placed = placed.select("doc_id", "text", "key", "n", F.col("to.range").cast("int").alias("range"), F.col("to.guest").alias("guest"))
     dealt = placed.repartitionById(len(splitters) + 1, F.col("range")).sortWithinPartitions("guest", F.col("key").desc(), F.xxhash64("text"), "text")
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -176,21 +199,28 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
             digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
             out.append((doc, len(text), digest, shown(sig), shown(other), likeness(sig, other), likeness(sig, b[4])))
 
-        def batch() -> pa.RecordBatch:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], columns)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], columns)
+
+        def repeated(row: tuple, n: int) -> Iterator[pa.RecordBatch]:
+            for i in range(0, n, REPEATED):
+                yield batch([row] * min(REPEATED, n - i))
 
         for b in batches:
-            for doc, text, guest in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for doc, text, guest, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if last is not None and last[2]:
                     break  # further guests
                 now = opened(doc, text.as_py(), guest)
                 if last is not None:
                     close(last, now)
+                if n > 1 and not guest:  # rows with the same id and text follow each other
+                    close(now, now)
+                    yield from repeated(out.pop(), n - 1)
                 last = now
             if out:
-                yield batch()
+                yield batch(out)
                 out.clear()
 
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("doc_id", "text", "guest").mapInArrow(walk, kinds)
+    return dealt.select("doc_id", "text", "guest", "n").mapInArrow(walk, kinds)

@@ -8,17 +8,22 @@ share of rejected documents among the labelled ones, is the threshold.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tamis.llm.common import id_remainder
+from tamis.llm.common import bounded_batches, id_remainder
 from tamis.llm.learning import SAMPLE, labelled_sample, matrix, scored
 
 #: Pairs that each labelled document is drawn into, and the strength of the penalty.
 PAIRS, PENALTY = 4, 1e-3
+#: Standard deviations that a feature approaches and never passes.
+BEND = 8.0
 MARKS = "#$%&*!|.,?:;-_/<>=@\"'()+~^[]{}\\"
 _CLASS = np.full(0x250, 5, np.int64)  # five: other letters and signs
 for _c in range(0x250):
@@ -48,9 +53,9 @@ def features(text: str) -> list[float]:
         *shares.tolist(),
         *np.sqrt(marks).tolist(),
         float(np.log1p(len(codes))), float(np.log1p(len(words))), distinct / count, float(np.log1p(distinct)), same / count, float(same > 2),
-        float(lengths.mean()), float(lengths.std()), float(np.minimum(lengths.max(), 60)), ended, capitals, float(capitals > 0.2),
-        len(set(lines)) / len(lines), float(np.log1p(len(lines))), len(text) / len(lines) / 100,
-        min(packed, 1.5), float(packed < 0.25), float(marks.sum()), float(marks.max()), float(np.log1p(1000 * marks[:7].sum())),
+        float(lengths.mean()), float(lengths.std()), float(np.log1p(lengths.max())), ended, capitals, float(capitals > 0.2),
+        len(set(lines)) / len(lines), float(np.log1p(len(lines))), float(np.log1p(len(text) / len(lines))),
+        float(np.log1p(packed)), float(packed < 0.25), float(marks.sum()), float(marks.max()), float(np.log1p(1000 * marks[:7].sum())),
     ]
 
 
@@ -68,7 +73,7 @@ class Ranking:
             return self
         self.mean, self.scale = x.mean(0), x.std(0)
         self.scale[self.scale < 1e-9] = 1.0
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        z = self._standard(x)
         rng = np.random.default_rng(0)
         a = np.concatenate([np.tile(good, PAIRS), rng.choice(good, PAIRS * len(bad))])
         b = np.concatenate([rng.choice(bad, PAIRS * len(good)), np.tile(bad, PAIRS)])
@@ -89,16 +94,20 @@ class Ranking:
         self.sharpness = 1.0
         return self
 
+    def _standard(self, x: np.ndarray) -> np.ndarray:
+        """Deviations from the mean, bent towards a bound by one rising curve."""
+        return BEND * np.tanh((x - self.mean) / self.scale / BEND)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         if not len(self.w):
             return np.full(len(x), self.constant)
-        s = np.clip((x - self.mean) / self.scale, -8, 8) @ self.w - self.threshold
+        s = self._standard(x) @ self.w - self.threshold
         return 1 / (1 + np.exp(-np.clip(self.sharpness * s, -30, 30)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, limit: int = SAMPLE) -> Ranking:
     """Fit on at most ``limit`` labelled rows that ``allowed`` lets through."""
-    return Ranking().fit(*matrix(labelled_sample(docs, labels, "quality", allowed, limit), features))
+    return Ranking().fit(*matrix(labelled_sample(docs, labels, "quality", allowed, limit), features)[:2])
 
 
 def held_out(name: str = "doc_id") -> Column:
@@ -116,7 +125,16 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, held_out(), lambda texts: model.predict(np.array([features(t) for t in texts], float)) if texts else np.zeros(0))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns. Rows with a null id stay."""
-    rejected = score_quality(docs, labels).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+def drop_rejected(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with their columns. Each row is judged by its own text, in one pass."""
+    model = learn(docs, labels, ~held_out())
+    bounded_batches(docs.sparkSession)
+    flagged = T.StructType([*docs.schema.fields, T.StructField("__kept", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [features(t.as_py() or "") for t in b.column(b.schema.get_field_index(text_col))]
+            kept = model.predict(np.array(rows, float)) >= 0.5 if rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept)], [*b.schema.names, "__kept"])
+
+    return docs.mapInArrow(run, flagged).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,17 +5,19 @@ gaps between them, in code points. Candidate strings are long runs of key
 characters; a window slides over each, the counts of its characters and the sum
 of n log2 n are updated for the one that enters and the one that leaves, and
 windows whose Shannon entropy passes the limit of the string's character class
-make a span. Strings on the allow-list, and those that overlap a pattern's span,
-add nothing.
+make a span. Spans of patterns and harmless words are cut out of a string first and
+what remains of it is scanned; strings that are wholly on the allow-list add nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.functions.arrays import largest_before, once, sums_before
 from tamis.llm.common import text_of
 
 #: Pattern, least length and the group it applies to, by kind.
@@ -35,8 +37,9 @@ ALLOWED = (
     r"^[a-z+/_=-]+$", r"^[A-Z+/_=-]+$", r"^[A-Za-z]+$", r"^[0-9+/_=-]+$",
     r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|x{6,}",
 )
+#: Parts of strings that are no secrets, whatever stands beside them.
+HARMLESS = r"(?i)example|placeholder|x{6,}"
 LOWEST = 33  # code of the first character that is counted
 MASK = "[SECRET]"
 
@@ -45,16 +48,20 @@ SPAN = "array<struct<start:int,end:int>>"
 
 def _places(text: Column, pattern: str, keep: Column | None) -> Column:
     """Spans of all matches; ``keep`` (booleans by match) drops some."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    rows = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), *([keep.alias("keep")] if keep is not None else []))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), (F.concat(s["found"], F.when(x["keep"], one).otherwise(F.array().cast(SPAN))) if keep is not None else F.concat(s["found"], one)).alias("found"))
+    def spans(both: Column) -> Column:
+        sizes = F.transform(F.arrays_zip(both["hits"].alias("hit"), F.slice(both["gaps"], F.lit(1), F.size(both["hits"])).alias("gap")), lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit")))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")), step, lambda s: s["found"])
+        def placed(sized: Column) -> Column:
+            before = sums_before(F.transform(sized, lambda x: x["gap"] + x["hit"]))
+            return F.transform(F.arrays_zip(sized.alias("x"), before.alias("before")), lambda z: F.struct((z["before"] + z["x"]["gap"]).alias("start"), (z["before"] + z["x"]["gap"] + z["x"]["hit"]).alias("end")))
+
+        return once(sizes, placed)
+
+    found = once(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), spans)
+    if keep is None:
+        return found
+    return F.transform(F.filter(F.arrays_zip(found.alias("span"), keep.alias("keep")), lambda z: z["keep"]), lambda z: z["span"])
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -90,20 +97,43 @@ def _window_span(value: Column, limit: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), start, step, lambda s: F.when(s["first"].isNotNull(), F.struct(s["first"].alias("start"), s["last"].alias("end"))))
 
 
+def _replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with each of ``spans``, which are in order and may overlap, replaced by ``by(span, end of those before)``."""
+
+    def filled(held: Column) -> Column:
+        before = largest_before(F.transform(held, lambda x: x["end"]))
+        pieces = F.transform(F.arrays_zip(held.alias("x"), before.alias("at")), lambda z: F.concat(F.substring(text, z["at"] + 1, F.greatest(z["x"]["start"] - z["at"], F.lit(0))), by(z["x"], z["at"])))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.coalesce(F.array_max(F.transform(held, lambda x: x["end"])), F.lit(0)) + 1, F.char_length(text)))
+
+    return once(spans, filled)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with every character of ``spans`` replaced by a blank, so that places stay."""
+    return F.when(F.size(spans) == 0, text).otherwise(_replaced(text, spans, lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))))
+
+
 def entropy_spans(text: Column, base: Column) -> Column:
-    """Spans of high-entropy windows outside the spans of ``base``."""
-    def weigh(s: Column) -> Column:
-        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    """Spans of high-entropy windows outside the spans of ``base`` and what the allow-list has.
+
+    What is left of a run of key characters beside them is a candidate of its own if it is long enough.
+    """
+    def weigh(left: Column, s: Column) -> Column:
+        value = F.substring(left, s["start"] + 1, s["end"] - s["start"])
         allowed = value.rlike("|".join(f"(?:{p})" for p in ALLOWED))
         limit = F.lit(99.0)
         for pattern, least in reversed(CLASSES):
             limit = F.when(value.rlike(pattern), F.lit(least)).otherwise(limit)
-        clash = F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        found = F.when(~(clash | allowed), _window_span(value, limit))
+        found = F.when(~allowed, _window_span(value, limit))
         return F.struct((s["start"] + found["start"]).alias("start"), (s["start"] + found["end"]).alias("end"))
 
-    spans = F.filter(F.transform(_places(text, CANDIDATE, None), weigh), lambda s: s["start"].isNotNull())
-    return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast(SPAN))
+    def scan(left: Column) -> Column:
+        return F.filter(F.transform(_places(left, CANDIDATE, None), lambda s: weigh(left, s)), lambda s: s["start"].isNotNull())
+
+    def cleared(left: Column) -> Column:
+        return F.when(left.rlike(HARMLESS), once(_blanked(left, _places(left, HARMLESS, None)), scan)).otherwise(scan(left))
+
+    return F.when(text.rlike(CANDIDATE), once(_blanked(text, F.array_sort(base)), cleared)).otherwise(F.array().cast(SPAN))
 
 
 def _listed(*kinds: tuple[str, Column]) -> Column:
@@ -149,11 +179,7 @@ def mask_secrets(df: DataFrame, text_col: str = "text", length_col: str = "n_cha
     all_ = F.array_sort(F.concat(*[F.col(f"__{k}") for k in (*KINDS, "entropy")]))
     text = F.col("__text")
 
-    def step(s: Column, x: Column) -> Column:
-        inside = x["start"] < s["at"]  # overlaps the span before, whose mask stands for both
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(MASK))).alias("out"))
-
-    masked = F.aggregate(all_, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    masked = _replaced(text, all_, lambda s, at: F.when(s["start"] < at, "").otherwise(MASK))  # one mask for spans that overlap
     has = F.size(all_) > 0
     out = found.withColumn("__masked", F.when(has, masked)).withColumn(text_col, F.coalesce("__masked", text_col))
     if length_col in df.columns:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bounded_batches, materialise
+from tamis.llm.common import bounded_batches, join_hot, materialise
 from tamis.llm.components import components
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -203,10 +203,12 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prints = materialise(fingerprints(df, id_col, text_col))
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(nodes))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id", F.col("n").alias("group_size"))
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
+    total = rooted.agg(F.count("*").alias("nodes"), F.sum("n").alias("rows")).first()
+    # A component may hold much of the nodes, a fingerprint much of the rows.
+    by_print = materialise(join_hot(rooted, named, "root", total["nodes"]).select("fp", "component_id", F.col("n").alias("group_size")))
+    return join_hot(prints, by_print, "fp", total["rows"] or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,8 +24,8 @@ PLAIN = str.maketrans("013457@$!", "oieastasi")
 YOU = frozenset("you your yours yourself u du dich dir dein deine ihr euch euer tu toi te ton ta tes vous votre vos tú ti tus usted ustedes vosotros os".split())
 #: Words whose weight is remembered.
 REMEMBER = 300_000
-#: Stem lengths that the lexicon learns beside whole words; entries at most; documents an entry is in at least; words that count as near.
-STEMS, ENTRIES, LEAST, NEAR = (4, 5, 6), 2000, 4, 5
+#: Stem lengths that the lexicon learns beside whole words; toxic documents of the sample an entry is in at least, and its log-odds (fewer are chance); words that count as near.
+STEMS, LEAST, ODDS, NEAR = (4, 5, 6), 4, 1.5, 5
 
 
 def stems(word: str) -> list[str]:
@@ -33,7 +33,7 @@ def stems(word: str) -> list[str]:
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Stems and words by log-odds of toxic against other documents, from a bounded sample."""
+    """All stems and words that tell toxic from other documents, with their log-odds, from the rows of a bounded sample that are not apart."""
     bounded_batches(sample.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,13 +46,13 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["stem", "label", "n"])
 
-    counts = sample.select("text", "label").mapInArrow(count, "stem string, label int, n long")
+    counts = sample.where("not apart").select("text", "label").mapInArrow(count, "stem string, label int, n long")
     by = counts.groupBy("stem").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("pos"), F.sum(F.expr("if(label = 0, n, 0)")).alias("neg"))
     totals = by.where("stem = ''").first()
     if not totals or not totals["pos"] or not totals["neg"]:
         return {}
     odds = F.log((F.col("pos") + 0.5) / (totals["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / (totals["neg"] + 1.0))
-    rows = by.where(f"stem <> '' and pos >= {LEAST}").withColumn("odds", odds).where("odds > 1.5").orderBy((F.col("odds") * F.sqrt("pos")).desc(), "stem").limit(ENTRIES).collect()
+    rows = by.where(f"stem <> '' and pos >= {LEAST}").withColumn("odds", odds).where(F.col("odds") > ODDS).orderBy("stem").collect()  # words of the sample
     return {r["stem"]: r["odds"] for r in rows}
 
 
@@ -124,7 +124,8 @@ def held_out(name: str = "doc_id") -> Column:
 def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
-    Lexicon, trees and calibration are learnt from at most ``limit`` labelled rows.
+    Lexicon and trees are learnt from three quarters of at most ``limit`` labelled rows, the
+    calibration from the rest.
     Defined cases: null and empty texts get the score of the empty text; repeated rows
     a row each; null ids pass; without labels of both kinds every score is the share
     of toxic labels seen (0 if none); an empty table gives an empty result.
