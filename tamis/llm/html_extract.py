@@ -43,7 +43,7 @@ UNWANTED_NAMES = frozenset(
 )
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 
-START, SPECIAL = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/<>]*))"), re.compile("[\"'>]")
+START, SPECIAL = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/<>]*)(>?))"), re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-z0-9]+")
 
@@ -133,11 +133,11 @@ def parse(source: str) -> Element:
             path.open[-1].children.append(entities.unescape(source[begin:end]))
 
     while m := START.search(source, at):
-        comment, mark, slash, name = m.groups()
+        comment, mark, slash, name, ended = m.groups()
         if comment or mark:
             end = source.find("-->", m.end()) if comment else source.find(">", m.end())
             end = len(source) if end < 0 else end + (3 if comment else 1)
-        elif (end := tags.end(m.end())) < 0:
+        elif (end := m.end() if ended else tags.end(m.end())) < 0:
             at = m.start() + 1
             continue
         text(m.start())
@@ -146,16 +146,16 @@ def parse(source: str) -> Element:
             continue
         tag = name.lower()
         if slash:
-            if place := path.innermost((tag,)):
-                path.close(place)
+            if path.places[tag]:
+                path.close(path.places[tag][-1])
             continue
-        if tag in CLOSES_P and (place := path.innermost(("p",))) > path.innermost(KEEPS_P):
+        if tag in CLOSES_P and path.places["p"] and (place := path.places["p"][-1]) > path.innermost(KEEPS_P):
             path.close(place)
         if tag in SIBLINGS:
             own, within = SIBLINGS[tag]
             while (place := path.innermost(own)) > path.innermost(within):
                 path.close(place)
-        attributes = source[m.end() : end - 1]
+        attributes = "" if ended else source[m.end() : end - 1]
         element = Element(tag, attributes.rstrip("/").strip())
         path.open[-1].children.append(element)
         if tag in RAW:
