@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
-from tamis.config import load
+from tamis.config import from_environment, load, merged, properties
 from tamis.plans.extraction import extract_source
 from tamis.plans.observability import JsonFormatter
 from tamis.streaming.daemon import Daemon
@@ -17,6 +18,7 @@ from tamis.streaming.daemon import Daemon
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tamis")
     parser.add_argument("--config", action="append", default=["configs/application.json"], help="configuration file; later ones win")
+    parser.add_argument("--set", action="append", default=[], metavar="SECTION.KEY=VALUE", help="a single property; wins over files and environment")
     commands = parser.add_subparsers(dest="command", required=True)
     one = commands.add_parser("extract", help="one run over a file or folder")
     one.add_argument("--source", "-s", required=True)
@@ -28,7 +30,8 @@ def main(args: list[str] | None = None) -> int:
     logging.getLogger("tamis").addHandler(handler)
     logging.getLogger("tamis").setLevel(logging.INFO)
     spark = SparkSession.builder.appName("tamis").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    config = load(*options.config)
+    chosen = [tuple(p.partition("=")[::2]) for p in options.set]
+    config = merged(load(*options.config, overrides=from_environment(os.environ)), properties(chosen))
     try:
         if options.command == "extract":
             print(extract_source(spark, options.source, config, dry_run=options.dry_run))

@@ -8,10 +8,13 @@ providers, transforms and policies are checked when the configuration is built.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from typing import Any, get_type_hints
 
+#: Variables of the environment that begin so override single properties.
+ENVIRONMENT = "TAMIS_"
+
 
 class ConfigError(ValueError):
     """A configuration that cannot be compiled into a plan."""
@@ -142,6 +145,7 @@ class Csv:
     delimiter: str = ";"
     quote: str = '"'
     null_literal: str = "NULL"
+    largest_file: int = 0  # rows up to which a list is one file (0: always); larger ones are directories, written by the executors
 
 
 @dataclass(frozen=True)
@@ -236,8 +240,8 @@ def validated(config: Config) -> Config:
         if a.id is not None:
             known("id strategy", a.id.strategy, {"ascending", "descending"})
     for m in config.aggregation.merges:
-        known("conflict policy", m.conflict_policy, {"keep-first"})
-        known("key mode", m.key_mode, {"composite", "first-non-empty"})
+        known("conflict policy", m.conflict_policy, registry.MERGE_POLICIES)
+        known("key mode", m.key_mode, registry.KEY_MODES)
         known("artifact", m.name, names)
     if config.aggregation.retention_enabled:
         raise ConfigError("retention is not supported")
@@ -284,6 +288,29 @@ def merged(config: Config, overrides: Mapping[str, Any]) -> Config:
     return validated(replace(config, **changes))
 
 
+def properties(pairs: Iterable[tuple[str, str]]) -> dict[str, Any]:
+    """Overrides from single properties: ``section.key`` and a JSON value, or text that is no JSON."""
+    out: dict[str, Any] = {}
+    for name, text in pairs:
+        try:
+            value = json.loads(text)
+        except ValueError:
+            value = text
+        *sections, key = name.removeprefix("ioc.").split(".")
+        at = out
+        for section in sections:
+            at = at.setdefault(section, {})
+            if not isinstance(at, dict):
+                raise ConfigError(f"property below a value: {name}")
+        at[key] = value
+    return out
+
+
+def from_environment(environment: Mapping[str, str]) -> dict[str, Any]:
+    """Overrides from variables such as TAMIS_LOOKUP__DEDUPLICATE=false; two underscores divide section and key."""
+    return properties((k.removeprefix(ENVIRONMENT).lower().replace("__", "."), v) for k, v in sorted(environment.items()) if k.startswith(ENVIRONMENT))
+
+
 def load(*paths: str, overrides: Mapping[str, Any] | None = None) -> Config:
     """Defaults, then each file that exists, then overrides."""
     config = validated(Config())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,14 +72,30 @@ def key_part(value: Column) -> Column:
     return F.when((trimmed != "") & (F.upper(trimmed) != "NULL"), trimmed)
 
 
-def row_key(columns: Iterable[str], mode: str) -> Column:
-    """``column:value`` of the key columns: all joined by | (null if one is missing), or the first that is there."""
-    parts = [F.concat(F.lit(f"{c.lower()}:"), key_part(F.col(c))) for c in columns]
-    if mode == "first-non-empty":
-        return F.coalesce(*parts) if parts else F.lit(None).cast("string")
+def key_parts(columns: Iterable[str]) -> list[Column]:
+    """``column:value`` of each key column; null where the value is missing."""
+    return [F.concat(F.lit(f"{c.lower()}:"), key_part(F.col(c))) for c in columns]
+
+
+def composite_key(parts: list[Column]) -> Column:
+    """All parts joined by |; null if one is missing."""
     return F.concat(*[x for i, p in enumerate(parts) for x in ((F.lit("|"), p) if i else (p,))])
 
 
+def first_key(parts: list[Column]) -> Column:
+    """The first part that is there."""
+    return F.coalesce(*parts) if parts else F.lit(None).cast("string")
+
+
+#: How a row's key is made from the parts of its key columns.
+KEY_MODES: dict[str, Callable[[list[Column]], Column]] = {"composite": composite_key, "first-non-empty": first_key}
+
+
+def row_key(columns: Iterable[str], mode: str) -> Column:
+    """The key of a row, by a mode of ``KEY_MODES``."""
+    return KEY_MODES[mode](key_parts(columns))
+
+
 def dedup_key(kind: Column, value: Column) -> Column:
     return F.concat_ws("|", kind, value)
 

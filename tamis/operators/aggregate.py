@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.config import Merge
 from tamis.functions.text import row_key
+from tamis.operators.registry import MERGE_POLICIES
 from tamis.operators.sequence import numbered
 from tamis.sources.tables import materialise
 
@@ -48,12 +49,6 @@ def keyed(rows: DataFrame, merge: Merge) -> DataFrame:
     return rows.withColumn("__key", row_key(merge.key_columns, merge.key_mode))
 
 
-def first_arrivals(rows: DataFrame) -> DataFrame:
-    """Of the rows of each __key the one that arrived first; rows without a key are left out."""
-    order = Window.partitionBy("__key").orderBy(F.col("detected_at").asc_nulls_last(), "source_key", "ordinal")
-    return rows.where("__key is not null").withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
-
-
 def aggregate(
     canonical: Mapping[str, DataFrame],
     arrived: Mapping[str, DataFrame],
@@ -77,7 +72,7 @@ def aggregate(
     keys: DataFrame | None = None
     for rank, m in enumerate(active):
         known = keyed(canonical[m.name], m).select("__key").where("__key is not null").distinct()
-        fresh[m.name] = materialise(first_arrivals(keyed(arrived[m.name], m)).join(known, "__key", "left_anti"))
+        fresh[m.name] = materialise(MERGE_POLICIES[m.conflict_policy](keyed(arrived[m.name], m)).join(known, "__key", "left_anti"))
         part = fresh[m.name].select(F.lit(m.name).alias("artifact"), F.lit(rank).alias("rank"), F.col("__key").alias("key"), "detected_at", "source_key", "ordinal")
         keys = part if keys is None else keys.unionByName(part)
     spark = index.sparkSession

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,14 @@ def first_in_source(df: DataFrame, *source: str) -> DataFrame:
     return df.withColumn("__place", F.row_number().over(place)).where("__place = 1").drop("__place")
 
 
-def first_in_row(indicators: Column) -> Column:
-    """The same inside an array of indicators, so that a document needs no shuffle."""
-    return F.filter(indicators, lambda x, i: ~F.exists(F.slice(indicators, F.lit(1), i), lambda y: (y["type"] == x["type"]) & (y["value"] == x["value"])))
+def first_by(*order: str) -> Callable[[DataFrame], DataFrame]:
+    """Of the rows of each __key the first in ``order`` (nulls last); rows without a key are left out."""
+
+    def first(rows: DataFrame) -> DataFrame:
+        place = Window.partitionBy("__key").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+        return rows.where("__key is not null").withColumn("__place", F.row_number().over(place)).where("__place = 1").drop("__place")
+
+    return first
 
 
 def lookup_kind(kind: Column, value: Column) -> Column:

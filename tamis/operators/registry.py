@@ -1,4 +1,4 @@
-"""Named extension points: predicates, value providers and transforms.
+"""Named extension points: predicates, value providers, transforms, row keys and merge policies.
 
 Each name maps to a function that builds a Column, so a configuration compiles
 into a plan without user-defined functions. Add to a mapping to extend it.
@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions import psl, text
+from tamis.operators.dedup import first_by
 
 #: Predicates of classification rules, over the columns that ``features`` adds.
 PREDICATES: dict[str, Callable[[], Column]] = {
@@ -46,3 +47,9 @@ TRANSFORMS: dict[str, Callable[[Column, str], Column]] = {
     "lower-host": lambda v, _: text.lower_host(v),
     "strip-prefix": lambda v, arg: text.strip_prefix(v, arg),
 }
+
+#: Ways to make a row's key.
+KEY_MODES = text.KEY_MODES
+
+#: Which of the rows with one __key is appended: rows with __key, detected_at, source_key and ordinal to at most one for each key.
+MERGE_POLICIES: dict[str, Callable[[DataFrame], DataFrame]] = {"keep-first": first_by("detected_at", "source_key", "ordinal")}

@@ -211,6 +211,21 @@ def diagnostic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.rendered(found).groupBy("message").agg(F.count("*").alias("n"))
 
 
+#: Fixed values of the public suffix list: suffixes, suffixes by a wildcard, and names that an exception makes registrable.
+SUFFIXES = (("co.uk", "com.au", "github.io", "blogspot.com", "com", "museum"), ("x.ck", "y.bd"), ("www.ck", "city.kawasaki.jp"))
+
+
+_SUFFIX_ROWS = ", ".join(f"('{s}', {depth})" for depth, group in ((0, SUFFIXES[0]), (0, SUFFIXES[1]), (1, SUFFIXES[2])) for s in group)
+SUFFIX_HOSTS = f"SELECT concat(CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('n', CAST(page_id AS STRING), '.') ELSE concat('a.n', CAST(page_id AS STRING), '.') END, suffix) AS host, depth + page_id % 3 AS depth FROM pages CROSS JOIN (VALUES {_SUFFIX_ROWS}) AS v(suffix, depth)"
+
+
+def public_suffix_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts below plain, wildcard and exceptional suffixes, at three depths, made from the pages' ids."""
+    from tamis.functions.psl import with_host_kind
+
+    return with_host_kind(feed._run(spark, sf_dir, SUFFIX_HOSTS)).select("host", "host_kind")
+
+
 def html_text_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through the HTML reader, then domains; SQL has no parser."""
     files = _table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
@@ -256,6 +271,7 @@ QUERIES: dict[str, Query] = {
     "ledger_orphans": ledger_orphans,
     "ledger_current": ledger_current,
     "diagnostic_messages": diagnostic_messages,
+    "public_suffix_kinds": public_suffix_kinds,
     "html_text_domains": html_text_domains,
     "stream_ingest_partitions": stream_ingest_partitions,
 }
@@ -380,6 +396,7 @@ ORACLES: dict[str, str] = {
     "aggregate_masks": f"{_arrivals_sql()}, m AS (SELECT doc_id, ordinal, url_match, {_LOWER_HOST.format(v='value')} AS mask FROM feat WHERE {_ROUTES['masks']}) SELECT mask, count(*) AS n, max(url_match) AS url_match FROM (SELECT m.mask, m.url_match FROM m WHERE doc_id % 10 = 0 UNION ALL SELECT m.mask, m.url_match FROM m JOIN fresh f ON f.artifact = 'masks' AND f.doc_id = m.doc_id AND f.ordinal = m.ordinal) GROUP BY mask",
     "stable_ids": f"{_arrivals_sql()} SELECT artifact, key, row_number() OVER (ORDER BY rank, detected_at NULLS LAST, source_key, doc_id, ordinal) AS id FROM fresh",
     "aggregation_counters": f"{_arrivals_sql()} SELECT artifact, count(*) AS rows_read, (SELECT count(*) FROM canon c WHERE c.artifact = arr.artifact) + (SELECT count(*) FROM fresh f WHERE f.artifact = arr.artifact) AS rows_written, (SELECT count(*) FROM fresh f WHERE f.artifact = arr.artifact) AS new_ids, count(key) - (SELECT count(*) FROM fresh f WHERE f.artifact = arr.artifact) AS unchanged, count(*) - count(key) AS skipped FROM arr GROUP BY artifact",
+    "public_suffix_kinds": f"SELECT host, CASE depth WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'REGISTRABLE' ELSE 'SUBDOMAIN' END AS host_kind FROM ({SUFFIX_HOSTS})",
     "stream_ingest_partitions": f"WITH {_SPANS} SELECT type, count(*) AS n FROM (SELECT DISTINCT doc_id % 8, type, value FROM ind) GROUP BY type",
     "content_hash_dedup": "SELECT sha256(coalesce(text, '')) AS source_key, min(doc_id) AS doc_id, count(*) AS deliveries FROM documents GROUP BY 1",
     "ledger_ready": f"SELECT key, status FROM ({_LEDGER}) WHERE status = 'SOURCE_ARCHIVED' AND written <> 0",

@@ -18,9 +18,7 @@ from tamis.operators.extract import exploded, extract
 from tamis.plans import diagnostics as dia
 from tamis.plans import observability as obs
 from tamis.plans.kernel import Envelope, Pipeline, envelope, run
-from tamis.sources import csvio
-from tamis.sources.documents import read_documents
-from tamis.sources.lookup import entries
+from tamis.plans.ports import Ports
 from tamis.sources.tables import materialise
 
 READ, REFANG, EXTRACT, ATTRIBUTE, DEDUPLICATE, WRITE = "read-source", "refang", "extract-indicators", "attribute-source", "deduplicate", "write-artifacts"
@@ -60,11 +58,11 @@ def artifact_path(config: Config, artifact: Artifact) -> str:
     return artifact.path if os.path.isabs(artifact.path) else os.path.join(config.output_dir, artifact.path)
 
 
-def extraction_pipeline(spark: SparkSession, config: Config, *, dry_run: bool = False) -> Pipeline:
+def extraction_pipeline(spark: SparkSession, config: Config, *, dry_run: bool = False, ports: Ports = Ports()) -> Pipeline:  # noqa: B008 - frozen
     """Read, refang and extract (one plan), attribute, de-duplicate, write."""
 
     def read(e: Envelope) -> Envelope:
-        found = materialise(read_documents(spark, e.payload, config.charset))
+        found = materialise(ports.read(spark, e.payload, config.charset))
         obs.event("source_read", "success", ioc__source__path=str(e.payload))
         wrong = [dia.diagnostic("SOURCE.UNSUPPORTED_FORMAT" if r["error"].startswith("UnsupportedFormat") else "SOURCE.READ_FAILED", source=r["path"], reason=r["error"], format=r["path"].rpartition(".")[2]) for r in found.where("error is not null").select("path", "error").orderBy("path").toLocalIterator()]
         empty = [dia.diagnostic("SOURCE.EMPTY_TEXT", source=r["path"]) for r in found.where("trim(text) = ''").select("path").orderBy("path").toLocalIterator()]
@@ -77,7 +75,7 @@ def extraction_pipeline(spark: SparkSession, config: Config, *, dry_run: bool =
         return e.with_payload(materialise(exploded(attributed(e.payload), "doc_id")))
 
     def deduplicate(e: Envelope) -> Envelope:
-        lookup = entries(spark, config.lookup.artifacts, config.csv) if config.lookup.artifacts else None
+        lookup = ports.lookup(spark, config.lookup.artifacts, config.csv) if config.lookup.artifacts else None
         if lookup is not None:
             lookup = materialise(lookup)
             obs.event("lookup_load", "success", ioc__rows=lookup.count())
@@ -92,23 +90,18 @@ def extraction_pipeline(spark: SparkSession, config: Config, *, dry_run: bool =
             for artifact in config.enabled():
                 rows = filled(kept, artifact, tops)
                 path = artifact_path(config, artifact)
-                written[artifact.name] = csvio.write_file(rows, path, [c.name for c in artifact.columns], dialect=config.csv)
+                written[artifact.name] = ports.write(rows, path, [c.name for c in artifact.columns], dialect=config.csv)
                 obs.event("artifact_write", "success", ioc__artifact__name=artifact.name, ioc__rows=written[artifact.name], file__path=path)
         return e.with_payload(Summary(extracted, count, written))
 
     return Pipeline().then(READ, read).then(EXTRACT, find).then(ATTRIBUTE, attribute).then(DEDUPLICATE, deduplicate).then(WRITE, write)
 
 
-def extract_source(spark: SparkSession, source: str, config: Config | None = None, *, dry_run: bool = False, policy: dia.Policy = dia.fail_fast) -> Summary:
+def extract_source(spark: SparkSession, source: str, config: Config | None = None, *, dry_run: bool = False, policy: dia.Policy = dia.fail_fast, ports: Ports = Ports()) -> Summary:  # noqa: B008 - frozen
     """The one-shot run: a file or folder to the lists of the configuration."""
     config = config or Config()
     with obs.scope(ioc__mode="oneshot"):
         obs.event("command_start")
-        summary = run(extraction_pipeline(spark, config, dry_run=dry_run), envelope(source, os.path.abspath(source)), policy).payload
+        summary = run(extraction_pipeline(spark, config, dry_run=dry_run, ports=ports), envelope(source, os.path.abspath(source)), policy).payload
         obs.event("command_complete", "success", ioc__rows=sum(summary.written.values()))
     return summary
-
-
-def counts(extracted: DataFrame, kept: DataFrame) -> DataFrame:
-    """(extracted, retained) of two tables of indicators."""
-    return extracted.agg(F.count("*").alias("extracted")).crossJoin(kept.agg(F.count("*").alias("retained")))  # one row each

@@ -59,6 +59,17 @@ def write_directory(df: DataFrame, path: str, columns: list[str], dialect: Csv |
     df.select(line(columns, dialect).alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
+def write_list(df: DataFrame, path: str, columns: list[str], *, dialect: Csv | None = None) -> int:
+    """One file, or a directory of files where the dialect says that a list of so many rows is too large for the driver."""
+    limit = (dialect or Csv()).largest_file
+    if limit:
+        rows = df.count()
+        if rows > limit:
+            write_directory(df, path, columns, dialect)
+            return rows
+    return write_file(df, path, columns, dialect=dialect)
+
+
 def read(spark: SparkSession, path: str, columns: list[str] | None = None, dialect: Csv | None = None) -> DataFrame:
     """All columns as nullable strings; a missing file has the given columns and no rows."""
     dialect = dialect or Csv()

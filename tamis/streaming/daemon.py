@@ -25,10 +25,9 @@ from tamis.operators.artifacts import filled
 from tamis.operators.dedup import max_ids
 from tamis.plans import observability as obs
 from tamis.plans.extraction import artifact_path, featured, indicators, retained
+from tamis.plans.ports import Ports
 from tamis.sources import csvio, ledger as led
-from tamis.sources.documents import read_documents
 from tamis.sources.inbox import Lifecycle, ready_files
-from tamis.sources.lookup import entries
 from tamis.sources.tables import materialise
 
 
@@ -62,13 +61,16 @@ class Daemon:
     config: Config
     sleep: Callable[[float], None] = time.sleep
     state: AggregationState = field(default_factory=AggregationState)
+    ports: Ports = field(default_factory=Ports)
+    ledger: led.Ledger | None = None  # anything with its methods; a file by default
+    life: Lifecycle | None = None
 
     def __post_init__(self) -> None:
-        self.ledger = led.Ledger(self.config.ingestion.ledger)
-        self.life = Lifecycle(self.config.ingestion)
+        self.ledger = self.ledger or led.Ledger(self.config.ingestion.ledger)
+        self.life = self.life or Lifecycle(self.config.ingestion)
         self._lock = threading.Lock()
         self._stop = threading.Event()
-        self.lookup: DataFrame | None = materialise(entries(self.spark, self.config.lookup.artifacts, self.config.csv)) if self.config.lookup.artifacts else None
+        self.lookup: DataFrame | None = materialise(self.ports.lookup(self.spark, self.config.lookup.artifacts, self.config.csv)) if self.config.lookup.artifacts else None
         self.tops = {r["artifact"]: r["max_id"] for r in max_ids(self.lookup).collect()} if self.lookup is not None else {}
 
     # -- ingestion ---------------------------------------------------------
@@ -127,7 +129,7 @@ class Daemon:
 
     def write_partitions(self, record: led.Record) -> list[str]:
         """<partitions>/<artifact>/<day>/<key>.csv, ids from a start of their own for each source."""
-        documents = materialise(read_documents(self.spark, record.processing_path, self.config.charset))
+        documents = materialise(self.ports.read(self.spark, record.processing_path, self.config.charset))
         wrong = documents.where("error is not null").select("error").first()
         if wrong is not None:
             raise RuntimeError(wrong["error"])
@@ -136,7 +138,7 @@ class Daemon:
         paths = []
         for artifact in self.config.enabled():
             path = os.path.join(self.config.ingestion.partitions, artifact.name, day, f"{record.key}.csv")
-            csvio.write_file(filled(kept, artifact, self.tops), path, [c.name for c in artifact.columns], dialect=self.config.csv)
+            self.ports.write(filled(kept, artifact, self.tops), path, [c.name for c in artifact.columns], dialect=self.config.csv)
             paths.append(path)
         return paths
 
@@ -209,7 +211,7 @@ class Daemon:
         rows = result.index.orderBy("id")
         self._save_index(rows, c.id_index)
         for m in merges:
-            csvio.write_file(result.artifacts[m.name], artifact_path(self.config, enabled[m.name]), [x.name for x in enabled[m.name].columns], dialect=self.config.csv)
+            self.ports.write(result.artifacts[m.name], artifact_path(self.config, enabled[m.name]), [x.name for x in enabled[m.name].columns], dialect=self.config.csv)
         for r in records:
             self.ledger.mark(r.key, led.AGGREGATED)
         return counters

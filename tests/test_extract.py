@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamis.config import PATTERNS, PRIORITY, Config
 from tamis.functions.arrays import count_before, sums_before
-from tamis.operators.dedup import first_in_row, first_in_source, not_listed
+from tamis.operators.dedup import first_in_source, not_listed
 from tamis.operators.extract import exploded, with_indicators
 from tamis.plans.extraction import indicators
 
@@ -103,8 +103,6 @@ def test_first_wins(spark):
     rows = spark.createDataFrame([(1, 0, "DOMAIN", "A.com", "x"), (1, 1, "DOMAIN", "a.com", "y"), (1, 2, "DOMAIN", "A.com", "z"), (2, 0, "DOMAIN", "A.com", "w")], "doc_id long, ordinal int, type string, value string, source_label string")
     kept = first_in_source(rows, "doc_id").orderBy("doc_id", "ordinal").collect()
     assert [(r["doc_id"], r["value"], r["source_label"]) for r in kept] == [(1, "A.com", "x"), (1, "a.com", "y"), (2, "A.com", "w")]
-    packed = rows.where("doc_id = 1").orderBy("ordinal").groupBy().agg(F.array_sort(F.collect_list(F.struct("ordinal", "type", "value"))).alias("i"))
-    assert [x["ordinal"] for x in packed.select(first_in_row(F.col("i")).alias("k")).first()["k"]] == [0, 1]
 
 
 @pytest.mark.parametrize(("kind", "value", "listed"), [("DOMAIN", "Evil.com", True), ("IPV4", "1.2.3.4", True), ("IPV4", "1.2.3.4:80", False), ("MD5", "aa", True), ("SHA1", "aa", False)])

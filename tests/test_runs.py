@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import io
 import os
 import zipfile
 from dataclasses import replace
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tamis import config as cfg
+from tamis.operators import registry
 from tamis.operators.aggregate import INDEX_SCHEMA, aggregate
+from tamis.operators.dedup import first_by
 from tamis.plans import diagnostics as dia
 from tamis.plans.extraction import READ, extract_source, extraction_pipeline
 from tamis.plans.kernel import envelope
+from tamis.plans.ports import Ports
 from tamis.sources import csvio, documents, ledger
 from tamis.sources.inbox import ready_files
 from tamis.sources.lookup import entries
@@ -176,3 +181,64 @@ def test_documents(spark, tmp_path):
     assert rows["w.html"]["text"].split() == ["Привет", "a", "b&c"] and "x.com" not in rows["w.html"]["text"]
     assert rows["t.txt"]["text"] == "plain" and rows["d.docx"]["text"] == "one\ntwo" and rows["s.xlsx"]["text"] == "evil.com\t5"
     assert rows["p.pdf"]["text"] is None and "PDF" in rows["p.pdf"]["error"]
+
+
+def office(parts):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return buffer.getvalue()
+
+
+def test_more_formats_and_own_readers(spark, tmp_path):
+    slide = lambda t: f'<s xmlns:a="x"><a:p><a:t>{t}</a:t></a:p></s>'
+    files = {
+        "a.pptx": office({"ppt/presentation.xml": "<p/>", "ppt/slides/slide10.xml": slide("ten.com"), "ppt/slides/slide2.xml": slide("two.com")}),
+        "b.odt": office({"mimetype": "x", "content.xml": '<d xmlns:t="x"><t:h>head</t:h><t:p>odt<t:span>.com</t:span></t:p></d>'}),
+        "c.rtf": rb"{\rtf1\ansi\ansicpg1251{\fonttbl{\f0 Arial;}}{\*\generator x;}rtf.com\par \'c0\u1041?\{x\}}",
+        "d.eml": b"Subject: mail.com\r\nContent-Type: text/html\r\n\r\n<p>body.com</p>",
+        "e.pdf": b"%PDF-1.4 own.com",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    own = lambda name, content: content[9:].decode() if name.endswith(".pdf") else None
+    rows = {os.path.basename(r["path"]): r["text"] for r in documents.read_documents(spark, str(tmp_path), readers=[own]).collect()}
+    assert rows == {"a.pptx": "two.com\nten.com", "b.odt": "head\nodt.com", "c.rtf": "rtf.com\nАБ{x}", "d.eml": "mail.com\nbody.com", "e.pdf": "own.com"}
+
+
+def test_ports_can_be_replaced(spark, tmp_path):
+    held = {}
+
+    def read(spark, path, charset):
+        return spark.createDataFrame([(path, path, "k", None, "port.com", None)], "doc_id string, path string, source_key string, modified timestamp, text string, error string")
+
+    def write(rows, path, columns, *, dialect):
+        held[os.path.basename(path)] = [r.asDict() for r in rows.select(*columns).collect()]
+        return len(held[os.path.basename(path)])
+
+    summary = extract_source(spark, "anything", settings(tmp_path), ports=Ports(read=read, write=write))
+    assert summary.written["masks"] == 1 and held["masks_list_generated.csv"][0]["mask"] == "port.com" and not (tmp_path / "out").exists()
+
+
+def test_large_lists_are_directories(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), i) for i in range(5)], "a string, __row long")
+    assert csvio.write_list(rows, str(tmp_path / "one"), ["a"], dialect=cfg.Csv(largest_file=5)) == 5 and (tmp_path / "one").is_file()
+    assert csvio.write_list(rows, str(tmp_path / "many"), ["a"], dialect=cfg.Csv(largest_file=4)) == 5 and (tmp_path / "many").is_dir()
+
+
+def test_single_properties_override(tmp_path):
+    over = cfg.from_environment({"TAMIS_LOOKUP__DEDUPLICATE": "false", "TAMIS_CHARSET": "utf-8", "HOME": "x"})
+    config = cfg.merged(cfg.load(overrides=over), cfg.properties([("ioc.ingestion.max-files-per-poll", "7"), ("csv.delimiter", ",")]))
+    assert (config.lookup.deduplicate, config.charset, config.ingestion.max_files_per_poll, config.csv.delimiter) == (False, "utf-8", 7, ",")
+    with pytest.raises(cfg.ConfigError):
+        cfg.load(overrides=cfg.properties([("csv.nothing", "1")]))
+
+
+def test_merge_policies_are_a_registry(spark, monkeypatch):
+    monkeypatch.setitem(registry.MERGE_POLICIES, "keep-last", lambda rows: first_by("neg")(rows.withColumn("neg", -F.col("ordinal"))).drop("neg"))
+    rows = spark.createDataFrame([("a", "x", None, "s", 0), ("a", "y", None, "s", 1)], "mask string, note string, detected_at timestamp, source_key string, ordinal long")
+    old = spark.createDataFrame([], "mask string, note string, __row long")
+    merge = cfg.Merge("masks", ("mask",), conflict_policy="keep-last")
+    out = aggregate({"masks": old}, {"masks": rows}, spark.createDataFrame([], INDEX_SCHEMA), [merge])
+    assert [(r["mask"], r["note"]) for r in out.artifacts["masks"].collect()] == [("a", "y")]
