@@ -10,9 +10,9 @@ A pre-token longer than ``LEAF`` bytes is halved until the leaves are short, the
 leaves are encoded each by itself, and at each join a window around the seam is
 encoded again and grown until its first and last tokens are those of the two
 sides. Then every adjacent pair of tokens stems from a correct encoding, and a
-sequence whose adjacent pairs are all correct is itself the encoding. Leaves of
-one task are encoded one after another (the routine holds the interpreter);
-``tokenize`` deals the halves of very long unsplit texts to several tasks.
+sequence whose adjacent pairs are all correct is itself the encoding. The halves need nothing of
+each other, but a task encodes them one after another: the routine holds the
+interpreter, so threads take longer than no threads. Texts are what runs in parallel.
 
 Merging is done by tiktoken's routine on the ranks of the file. It merges by
 rank of the result where the library merges listed pairs; the two agree when
