@@ -18,27 +18,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise ranking accepts."""
+    """Documents that the pairwise ranking accepts, each row by its own text.
+
+    Null and empty texts are judged as the empty text; ids, null or repeated, don't matter; without labels of
+    both kinds every row has the label seen (all stay if there is none); columns are kept.
+    """
     return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest id."""
+    """Of equal texts (null is the empty one), the row with the largest id; null ids lose, and of equal ids one row stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one with the smallest id."""
+    """Of each group of near copies, the one with the smallest id; rows with a null id stay, texts without words are near each other."""
     return simhash.drop_near_copies(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with what looks like a secret masked."""
+    """All documents, with what looks like a secret masked; null texts stay null, n_chars follows the text."""
     return secrets.mask_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of tokens."""
+    """Pieces of documents in windows of tokens; a null or empty text is its end id alone, null ids are packed too."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
@@ -55,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. An empty table gives an empty result; columns beside those of documents pass to the last stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
