@@ -235,7 +235,7 @@ def tokens_and_counts(df: DataFrame, path: str, part: float, id_col: str, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, context = encoder(path), TaskContext.get()
-        total, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        total, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         task, length, seen = context.partitionId() if context else 0, 0, 0
         names = ["doc_id", "ids", "sample", "terms", "counts"]
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -248,7 +248,7 @@ def tokens_and_counts(df: DataFrame, path: str, part: float, id_col: str, text_c
                 if len(ids):
                     if (top := int(ids.max())) >= len(total):
                         total, last = (np.pad(x, (0, top + 1)) for x in (total, last))
-                    place = np.arange(len(ids))
+                    place = np.arange(len(ids), dtype=np.int32)
                     last[ids] = place  # a term's last place in the document
                     total[ids[last[ids] == place]] += 1
                 out.append(raw)

@@ -52,3 +52,15 @@ def test_queries_are_registered():
     names = list(entry.queries())
     assert all(sum(bool(re.match(rf"op{n}_", x)) for x in names) == 1 for n in range(1, 11)) and "pipeline" in names
     assert "op1_exact_dedup" in entry.oracle_sql()
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    docs, labels, _ = corpus(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))  # docs has null ids, null texts, repeated rows and clashing columns
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {None, 8} & {p["doc_id"] for p in pieces} and len({p["doc_id"] for p in pieces}) > 400
+    docs.where("false").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    labels.where("false").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
