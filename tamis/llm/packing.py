@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from tamis.llm.bpe import encoder
 from tamis.llm.common import bounded_batches, materialise, text_of
 
-WINDOW, SHARD = 4096, 1 << 21
+WINDOW, SHARD = 4096, 1 << 20
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 #: A term in more than this part of a shard's documents has its list in a matrix; documents up to which all pairs are multiplied (either way the same scores).
-OFTEN, PAIRED = 6, 2048
+OFTEN, PAIRED = 24, 2048
 #: Order of near documents: dimensions of a vector, documents the tree is learnt from (about), sampled ones in a leaf.
 DIMENSIONS, SAMPLE, LEAF = 64, 20_000, 4
 #: Shards of a task, on average, and sampled documents of a task at least (so that ranges are even).
@@ -235,7 +235,8 @@ def tokens_and_counts(df: DataFrame, path: str, part: float, id_col: str, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, context = encoder(path), TaskContext.get()
-        total, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        total = np.zeros(1 << 16, np.int64)
+        pair, width = (np.uint32, 16) if enc.dtype == "<u2" else (np.uint64, 32)
         task, length, seen = context.partitionId() if context else 0, 0, 0
         names = ["doc_id", "ids", "sample", "terms", "counts"]
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -245,20 +246,19 @@ def tokens_and_counts(df: DataFrame, path: str, part: float, id_col: str, text_c
                 raw = enc.encode(t.as_py())
                 ids = np.frombuffer(raw, enc.dtype)
                 length, seen = length + len(ids) + 1, seen + 1
-                if len(ids):
-                    if (top := int(ids.max())) >= len(total):
-                        total, last = (np.pad(x, (0, top + 1)) for x in (total, last))
-                    place = np.arange(len(ids), dtype=np.int32)
-                    last[ids] = place  # a term's last place in the document
-                    total[ids[last[ids] == place]] += 1
                 out.append(raw)
                 sample.append(raw if zlib.crc32(f"{doc} {task} {seen}".encode()) < limit else None)
+            # A term once for each document that has it, all documents of the batch in one sort.
+            both = np.repeat(np.arange(len(out), dtype=pair), [len(raw) // (width // 8) for raw in out]) << pair(width) | np.frombuffer(b"".join(out), enc.dtype)
+            both.sort()
+            own = np.bincount((both[np.diff(both, prepend=~both[:1]) != 0] & pair((1 << width) - 1)).astype(np.int64), minlength=len(total))
+            total = np.pad(total, (0, len(own) - len(total))) + own
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(sample, pa.binary()), *(pa.nulls(len(out), k) for k in kinds[3:])], names)
         terms = np.flatnonzero(total)
         figures = ([None], [None], [None], [np.r_[terms, -1, -2]], [np.r_[total[terms], seen, length]])
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(figures, kinds, strict=True)], names)
 
-    return materialise(rows.mapInArrow(run, TOKENS))
+    return materialise(rows.mapInArrow(run, TOKENS), compression="snappy")
 
 
 def _ranges(places: np.ndarray, lengths: np.ndarray, tasks: int) -> np.ndarray:
@@ -272,12 +272,20 @@ def _ranges(places: np.ndarray, lengths: np.ndarray, tasks: int) -> np.ndarray:
 def in_lexical_order(tokens: DataFrame, frequency: np.ndarray, documents: int, length: int, shard: int, dtype: str) -> DataFrame:
     """(doc_id, ids) of all documents, with near ones in the same partition and side by side."""
     spark = tokens.sparkSession
-    rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["sample"])) for r in tokens.where("sample is not null").select("doc_id", "sample").collect())  # about SAMPLE documents
-    sample = [np.frombuffer(r[2], dtype) for r in rows]
     order = LexicalOrder(frequency, documents, length / max(documents, 1))
-    order.fit(order.vectors(sample))
+    unfitted = spark.sparkContext.broadcast(order)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.frombuffer(t.as_py(), dtype) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in unfitted.value.vectors(ids)], pa.binary()), pa.array(list(map(len, ids)), pa.int64())], ["vector", "tokens"])
+
+    found = tokens.where("sample is not null").select("sample").mapInArrow(vectors, "vector binary, tokens long").toArrow()  # about SAMPLE vectors
+    rows = sorted(zip(found["vector"].to_pylist(), found["tokens"].to_pylist(), strict=True))  # whatever the partitions
+    sample = np.frombuffer(b"".join(v for v, _ in rows), np.float32).reshape(-1, DIMENSIONS)
+    order.fit(sample)
     tasks = max(1, min(-(-length // (TASK_SHARDS * shard)), len(sample) // TASK_SAMPLE))
-    cuts = _ranges(order.places(order.vectors(sample)), np.array([len(x) for x in sample], np.int64), tasks)
+    cuts = _ranges(order.places(sample), np.array([n for _, n in rows], np.int64), tasks)
     fitted = spark.sparkContext.broadcast((order, cuts))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -617,3 +617,15 @@ def test_languages_like_exact_sets(spark):
         hits = {lang: sum(h in s for h in langid.grams(t).tolist()) for lang, s in sets.items()}
         best = max(hits.values())
         assert hits[got[i]["lang_pred"]] >= best - 2 and abs(got[i]["score"] - hits[got[i]["lang_pred"]] / sum(hits.values())) < (0.02 if len(t) > 100 else 0.2)  # a chance hit weighs in a short text
+
+
+def test_terms_are_counted_in_documents(spark):
+    tok = Tokenizer.from_file(WORD)
+    rows = [r for r in EDGE if r[0] is not None]
+    table = packing.tokens_and_counts(edge(spark, rows), WORD, 1.0, "doc_id", "text")
+    got = Counter()
+    for r in table.where("terms is not null").collect():
+        got.update(dict(zip(r["terms"], r["counts"], strict=True)))
+    own = [tok.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    want = Counter(t for ids in own for t in set(ids)) + Counter({-1: len(rows), -2: sum(map(len, own)) + len(rows)})
+    assert got == want
