@@ -42,6 +42,8 @@ CUT = re.compile(r" (?<=\S )(?=\S)")
 PLAIN = re.compile("[\x00-įı-ɏ]*\\Z")  # not the dotted capital I, which lower-cases to two characters
 #: Fixed value: white space below that code point.
 PLAIN_SPACE = "\\t-\\r \\x85\\xa0"
+#: Fixed value: what Python holds for white space below that code point and the splitters don't.
+SEPARATOR = re.compile("[\x1c-\x1f]").search
 
 
 def _members(kind: str) -> str:
@@ -119,6 +121,8 @@ class Encoder:
         built_in = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.blank = split is None  # a blank belongs to the word after it
         pattern = split["pattern"]["Regex"] if split else built_in
+        #: Letters alone are one pre-token: before them the splitter looks for contractions only, which begin with a sign.
+        self.letters = bool(re.match(r"(?:'[a-z]+\|)*\[\\p\{L\}\]\+(?:\||$)", pattern))
         self.plain_pieces = (plain_pattern(pattern) or regex.compile(pattern)).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -142,7 +146,7 @@ class Encoder:
         self.raw_of = {i: b for b, i in ranks.items()}
         #: Ids are kept in the narrowest type.
         self.code, self.dtype = ("H", "<u2") if max(self.bytes_of) < 1 << 16 else ("I", "<u4")
-        self.known, self.cuts = Known(self._word), Known(self._between)
+        self.known, self.cuts, self.spans = Known(self._word), Known(self._between), Known(self._span)
 
     # -- one pre-token ---------------------------------------------------------
 
@@ -185,12 +189,19 @@ class Encoder:
         byte, end = byte_symbols(), END if self.suffix else b""
         return array(self.code, [i for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text) for i in self.piece(bytes(byte[c] for c in p) + end)]).tobytes()
 
+    def _span(self, text: str) -> bytes:
+        """Ids of a plain text without white space, already in lower case where the file asks for it."""
+        return self._word(text) if self.letters and text.isalpha() else b"".join(map(self.known.__getitem__, self.plain_pieces(text)))
+
     def _of_plain(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.plain_pieces(text.lower() if self.lower else text)))
 
     def _ordinary(self, text: str) -> bytes:
         if PLAIN.match(text):
-            return self._of_plain(text)
+            if self.blank or SEPARATOR(text):
+                return self._of_plain(text)
+            # White space is dropped, so what it parts is encoded by itself and remembered with its signs.
+            return b"".join(map(self.spans.__getitem__, (text.lower() if self.lower else text).split()))
         if not self.blank:  # white space is dropped, so each blank is a cut
             return b"".join(map(self.cuts.__getitem__, filter(None, text.split(" "))))
         first, *rest = CUT.split(text)
